@@ -22,6 +22,7 @@ from ..operators.client_features import (CONSUMPTION_STAT_COLUMNS, client_aggreg
                                          gap_histogram, invoice_frequency, monthly_cols, remark_cols,
                                          tariff_and_meter_counts, value_counts, with_status_mean)
 from ..operators.projections import base_columns
+from ..session import cut_lineage
 
 INVOICE_FEATURES = (
     ["f_invoive_date_diff_days", "f_invoive_date_median_months", "f_invoive_date_median_years",
@@ -50,7 +51,11 @@ def build_features(client: DataFrame, invoice: DataFrame, with_target: bool | No
     if with_target is None:
         with_target = "target" in client.columns
 
-    agg = with_status_mean(client_aggregates(invoice))
+    # The per-client summary feeds four consumers (features, region std,
+    # region rate, status mode).  It is bounded by the number of clients, so
+    # it is written once to the shared checkpoint folder: the invoice
+    # aggregate runs once and later stages restart from it after a failure.
+    agg = cut_lineage(with_status_mean(client_aggregates(invoice)))
     counts = value_counts(invoice)
     gaps = gap_histogram(invoice, counts)
 

@@ -108,7 +108,7 @@ def _kinds(columns: list[str]) -> str:
     return ", ".join(f"{c}:{'i' if c in ints else 'f'}" for c in columns)
 
 
-def feature_oracle(with_target: bool) -> str:
+def feature_oracle(with_target: bool, raw: bool = False) -> str:
     blocks = PER_CLIENT + ["rmed", "rstd"] + (["rrate", "drate", "crate"] if with_target else [])
     head = ["c.client_id"] + (["c.target"] if with_target else []) + ["c.disrict", "c.region", "c.client_catg"]
     cols = head + INVOICE_FEATURE_SQL + (["rrate.f_t_region_fraud_rate", "drate.f_t_district_target_mean",
@@ -120,6 +120,8 @@ def feature_oracle(with_target: bool) -> str:
                   "LEFT JOIN crate ON c.client_catg = crate.client_catg"]
     sql = (cte("client", "invoice") + ", " + O_MEASURES + ",\n" + ",\n".join(O_BLOCKS[b] for b in blocks)
            + "\nSELECT " + ", ".join(cols) + "\nFROM client c\n" + "\n".join(joins))
+    if raw:
+        return sql
     names = [c.split(" AS ")[-1].split(".")[-1] for c in cols]
     return norm_sql(sql, _kinds(names))
 
