@@ -93,3 +93,12 @@ def digamma_py(x: float) -> float:
     x2 = x * x
     return acc + (math.log(x) - 1 / (2 * x) - 1 / (12 * x2) + 1 / (120 * x2 * x2)
                   - 1 / (252 * x2 ** 3) + 1 / (240 * x2 ** 4))
+
+
+def scalar_of(one_row_df, column: str):
+    """A column of a one-row aggregate as a scalar subquery (no join).
+
+    Catalyst merges several scalar subqueries over the same aggregate into
+    one, so each one-row statistic is computed once.
+    """
+    return one_row_df.select(column).scalar()

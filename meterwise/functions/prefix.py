@@ -64,8 +64,7 @@ def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, probs: l
             .groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("n")))
     ranked = rank_before(vals, [group_col], value_col)  # rows n_before+1 .. n_before+n (1-based)
     totals = vals.groupBy(group_col).agg(F.sum("n").alias("total"))
-    ps = long_df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
-    want = (totals.crossJoin(F.broadcast(ps))
+    want = (totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
             .withColumn("h", (F.col("total") - 1) * F.col("p") + 1)
             .withColumn("lo", F.floor("h").cast("long")).withColumn("hi", F.ceil("h").cast("long")))
     lo = ranked.alias("r").join(want.alias("w"), (F.col(f"r.{group_col}") == F.col(f"w.{group_col}"))

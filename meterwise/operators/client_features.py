@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (DAYS_PER_MONTH, DAYS_PER_YEAR, ensure_date, mode_smallest,
-                                 non_blank, safe_div)
+                                 non_blank, safe_div, scalar_of)
 
 LEVELS = ["consommation_level_1", "consommation_level_2", "consommation_level_3", "consommation_level_4"]
 CONSUMPTION_MEASURES = LEVELS + ["f_index_diff", "f_total_consumption"]
@@ -120,14 +120,12 @@ def with_status_mean(aggregates: DataFrame) -> DataFrame:
     """Mean status per client after filling invalid codes with the global mode.
 
     mean = (Σ valid + (#rows − #valid) · mode) / #rows.  The global mode is a
-    one-row aggregate, broadcast (its size is one row by construction).
+    one-row aggregate, used as a scalar subquery.
     """
-    mode = F.broadcast(status_mode(aggregates))
+    mode = scalar_of(status_mode(aggregates), "status_mode")
     filled = F.coalesce(F.col("status__sum"), F.lit(0)) + \
-        (F.col("n_invoices") - F.col("status__n")) * F.col("status_mode")
-    return (aggregates.crossJoin(mode)
-            .withColumn("f_counter_statue_mean", safe_div(filled, "n_invoices"))
-            .drop("status_mode"))
+        (F.col("n_invoices") - F.col("status__n")) * mode
+    return aggregates.withColumn("f_counter_statue_mean", safe_div(filled, "n_invoices"))
 
 
 # --------------------------------------------------------------------------- #

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
+from ..functions.columns import scalar_of
 from ..functions.prefix import exact_quantiles
 from ..operators.joins import row_positions
 
@@ -84,17 +85,16 @@ def table_shape(df: DataFrame) -> DataFrame:
 def class_distribution(df: DataFrame, target: str = "target") -> DataFrame:
     """Class, count and share of each class."""
     counts = df.groupBy(F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    return (counts.crossJoin(F.broadcast(total))
-            .select("class", "count", (F.col("count") / F.col("__total")).alias("share")))
+    total = scalar_of(df.agg(F.count(F.lit(1)).alias("__total")), "__total")
+    return counts.select("class", "count", (F.col("count") / total).alias("share"))
 
 
 def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFrame:
     """(value, count[, share]), most frequent first."""
     out = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
-        total = df.agg(F.count(F.lit(1)).alias("__t"))
-        out = out.crossJoin(F.broadcast(total)).withColumn("share", F.col("count") / F.col("__t")).drop("__t")
+        total = scalar_of(df.agg(F.count(F.lit(1)).alias("__t")), "__t")
+        out = out.withColumn("share", F.col("count") / total)
     return out.orderBy(F.desc("count"), F.asc("value"))
 
 
@@ -131,14 +131,13 @@ def compare_submissions(a: DataFrame, b: DataFrame, order_a: str, order_b: str,
     diff = joined.agg(
         F.count("id_a").alias("rows_a"), F.count("id_b").alias("rows_b"),
         F.count_if(~F.coalesce(F.col("id_a").eqNullSafe(F.col("id_b")), F.lit(False))).alias("id_mismatches"))
-    ma = a.agg(F.count_if(F.col(target).isNull()).alias("missing_target_a")) if target in a.columns \
-        else a.sparkSession.range(1).select(F.lit(None).cast("long").alias("missing_target_a"))
-    mb = b.agg(F.count_if(F.col(target).isNull()).alias("missing_target_b")) if target in b.columns \
-        else b.sparkSession.range(1).select(F.lit(None).cast("long").alias("missing_target_b"))
-    return (diff.crossJoin(ma).crossJoin(mb)
-            .select("rows_a", "rows_b", (F.col("rows_a") == F.col("rows_b")).alias("same_rows"),
-                    (F.col("id_mismatches") == 0).alias("same_ids"), "id_mismatches",
-                    "missing_target_a", "missing_target_b"))
+    def missing(side):
+        if target not in side.columns:
+            return F.lit(None).cast("long")
+        return scalar_of(side.agg(F.count_if(F.col(target).isNull()).alias("m")), "m")
+    return diff.select("rows_a", "rows_b", (F.col("rows_a") == F.col("rows_b")).alias("same_rows"),
+                       (F.col("id_mismatches") == 0).alias("same_ids"), "id_mismatches",
+                       missing(a).alias("missing_target_a"), missing(b).alias("missing_target_b"))
 
 
 def first_mismatches(a: DataFrame, b: DataFrame, order_a: str, order_b: str, key: str = "client_id",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.columns import DIVISION_SMOOTHING
+from ..functions.columns import DIVISION_SMOOTHING, scalar_of
 
 BASE_COLUMNS = ["client_id", "disrict", "region", "client_catg"]
 
@@ -74,14 +74,12 @@ def fill_constants(df: DataFrame, values: dict) -> DataFrame:
 
 def impute_mean(train: DataFrame, *others: DataFrame, columns: list[str]):
     """Fill NULL with the training mean; the same means fill the other
-    frames.  The means are one aggregate row, broadcast (size one row)."""
-    means = F.broadcast(train.agg(*[F.avg(c).alias(f"__mean_{c}") for c in columns]))
+    frames.  The means are one aggregate row, read as scalar subqueries."""
+    means = train.agg(*[F.avg(c).alias(f"__mean_{c}") for c in columns])
 
     def fill(df):
-        out = df.crossJoin(means)
-        for c in columns:
-            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"__mean_{c}")))
-        return out.drop(*[f"__mean_{c}" for c in columns])
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), scalar_of(means, f"__mean_{c}"))
+                               for c in columns})
 
     filled = [fill(train)] + [fill(o) for o in others]
     return filled[0] if not others else tuple(filled)
