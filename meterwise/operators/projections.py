@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.columns import DIVISION_SMOOTHING, scalar_of
+from ..functions.columns import DIVISION_SMOOTHING
 
 BASE_COLUMNS = ["client_id", "disrict", "region", "client_catg"]
 
@@ -74,11 +74,12 @@ def fill_constants(df: DataFrame, values: dict) -> DataFrame:
 
 def impute_mean(train: DataFrame, *others: DataFrame, columns: list[str]):
     """Fill NULL with the training mean; the same means fill the other
-    frames.  The means are one aggregate row, read as scalar subqueries."""
-    means = train.agg(*[F.avg(c).alias(f"__mean_{c}") for c in columns])
+    frames.  Fitting is one aggregate row (one number per column, as Spark
+    ML's Imputer); applying it is a projection."""
+    means = train.agg(*[F.avg(c).alias(f"__mean_{c}") for c in columns]).first()
 
     def fill(df):
-        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), scalar_of(means, f"__mean_{c}"))
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[f"__mean_{c}"]).cast("double"))
                                for c in columns})
 
     filled = [fill(train)] + [fill(o) for o in others]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feature_queries, report_queries, sampling_queries  # noqa: F401
+from . import feature_queries, model_queries, report_queries, sampling_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
