@@ -131,21 +131,32 @@ def with_status_mean(aggregates: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # value counts: days, tariffs, meters
 # --------------------------------------------------------------------------- #
-def value_counts(invoice: DataFrame) -> DataFrame:
+KIND_COLUMNS = {"d": "invoice_date", "t": "tarif_type", "m": "counter_number"}
+
+
+def value_counts(invoice: DataFrame, kinds=("d", "t", "m")) -> DataFrame:
     """(client_id, kind, value, n): counts of invoice days ('d', epoch day),
     tariffs ('t') and meters ('m').  NULL values are left out, as the
-    reference's median / mode / nunique skip them."""
-    inv = ensure_date(invoice.select("client_id", "invoice_date", "tarif_type", "counter_number"),
-                      "invoice_date")
-    kv = F.explode(F.array(
-        F.struct(F.lit("d").alias("kind"), F.unix_date("invoice_date").cast("long").alias("value")),
-        F.struct(F.lit("t").alias("kind"), F.col("tarif_type").cast("long").alias("value")),
-        F.struct(F.lit("m").alias("kind"), F.col("counter_number").cast("long").alias("value")),
-    )).alias("kv")
-    return (inv.filter(F.col("client_id").isNotNull())
-            .select("client_id", kv)
-            .select("client_id", "kv.kind", "kv.value")
-            .filter(F.col("value").isNotNull())
+    reference's median / mode / nunique skip them.
+
+    Only the requested kinds are built; several kinds share one scan and one
+    partial/final aggregate (one row per invoice and kind).
+    """
+    inv = invoice.select("client_id", *[KIND_COLUMNS[k] for k in kinds])
+    if "d" in kinds:
+        inv = ensure_date(inv, "invoice_date")
+
+    def value_of(k):
+        c = F.col(KIND_COLUMNS[k])
+        return (F.unix_date(c) if k == "d" else c).cast("long")
+
+    if len(kinds) == 1:
+        rows = inv.select("client_id", F.lit(kinds[0]).alias("kind"), value_of(kinds[0]).alias("value"))
+    else:
+        kv = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), value_of(k).alias("value"))
+                                 for k in kinds])).alias("kv")
+        rows = inv.select("client_id", kv).select("client_id", "kv.kind", "kv.value")
+    return (rows.filter(F.col("client_id").isNotNull() & F.col("value").isNotNull())
             .groupBy("client_id", "kind", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -156,7 +167,7 @@ def gap_histogram(invoice: DataFrame, counts: DataFrame | None = None) -> DataFr
     times per day); consecutive distinct days give their difference.  The
     window runs over distinct days per client, not over raw invoices.
     """
-    kv = counts if counts is not None else value_counts(invoice)
+    kv = counts if counts is not None else value_counts(invoice, ("d",))
     days = kv.filter(F.col("kind") == "d").select("client_id", F.col("value").alias("day"), "n")
     w = Window.partitionBy("client_id").orderBy("day")
     stepped = days.withColumn("gap", F.col("day") - F.lag("day").over(w))
@@ -183,7 +194,7 @@ def invoice_frequency(invoice: DataFrame, gaps: DataFrame | None = None) -> Data
 def tariff_and_meter_counts(invoice: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """A5, A9, A10 from the value counts: most frequent tariff (smallest on
     ties), number of distinct meters, number of distinct tariffs."""
-    kv = counts if counts is not None else value_counts(invoice)
+    kv = counts if counts is not None else value_counts(invoice, ("t", "m"))
     is_t = F.col("kind") == "t"
     is_m = F.col("kind") == "m"
     return (kv.filter(F.col("kind").isin("t", "m"))

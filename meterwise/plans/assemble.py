@@ -4,8 +4,8 @@ One plan replaces the reference's 21 feature calls (each a full copy,
 group-by and merge):
 
 1. one partial/final aggregate of invoices by client (algebraic measures);
-2. one (client, kind, value) count pre-aggregate → gap histogram, tariff
-   mode, distinct meters and tariffs;
+2. (client, value) count pre-aggregates → gap histogram (days), tariff
+   mode and distinct counts (tariffs, meters);
 3. client-sized joins: client rows ← per-client results ← region, district
    and category tables (AQE turns them into broadcast joins when the
    runtime size is below the broadcast threshold, sort-merge otherwise).
@@ -20,7 +20,7 @@ from ..functions.columns import CREATION_DATE_FORMATS, ensure_date
 from ..operators import group_features as G
 from ..operators.client_features import (CONSUMPTION_STAT_COLUMNS, client_aggregates, faulty_cols,
                                          gap_histogram, invoice_frequency, monthly_cols, remark_cols,
-                                         tariff_and_meter_counts, value_counts, with_status_mean)
+                                         tariff_and_meter_counts, with_status_mean)
 from ..operators.projections import base_columns
 from ..session import cut_lineage
 
@@ -55,16 +55,15 @@ def build_features(client: DataFrame, invoice: DataFrame, with_target: bool | No
     # region rate, status mode).  It is bounded by the number of clients, so
     # it is written once to the shared checkpoint folder: the invoice
     # aggregate runs once and later stages restart from it after a failure.
-    agg = cut_lineage(with_status_mean(client_aggregates(invoice)))
-    counts = value_counts(invoice)
-    gaps = gap_histogram(invoice, counts)
+    agg = with_status_mean(cut_lineage(client_aggregates(invoice), "client-summary"))
+    gaps = gap_histogram(invoice)
 
     per_client = (agg.select(
         "client_id", "n_invoices", "last_invoice_date", "f_counter_statue_error_occured",
         *CONSUMPTION_STAT_COLUMNS, "f_index_cons_error_sum", "f_counter_statue_mean",
         *monthly_cols(), *remark_cols(), *faulty_cols())
         .join(invoice_frequency(invoice, gaps), "client_id", "left")
-        .join(tariff_and_meter_counts(invoice, counts), "client_id", "left"))
+        .join(tariff_and_meter_counts(invoice), "client_id", "left"))
 
     client_keys = client.groupBy("client_id").agg(
         (F.count_distinct("region") > 1).cast("int").alias("f_counter_regions"),
