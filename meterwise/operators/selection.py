@@ -77,3 +77,111 @@ def feature_names(filtered: DataFrame) -> list[str]:
     order = ["rank"] if "rank" in filtered.columns else []
     rows = filtered.orderBy(*order).select("feature").collect() if order else filtered.select("feature").collect()
     return [r[0] for r in rows]
+
+
+# --------------------------------------------------------------------------- #
+# M1: k-nearest-neighbour MI of a continuous feature and a discrete label
+# (Ross 2014), for all features at once
+# --------------------------------------------------------------------------- #
+# Fixed constants of the estimator's defaults: 3 neighbours, noise of
+# 1e-10 · max(1, mean |x|) standard deviations added after scaling by the std.
+KNN_NEIGHBOURS = 3
+KNN_NOISE = 1e-10
+
+
+def _hash_normal(seed: int, *cols):
+    """A seeded standard-normal draw per row (Box–Muller on two hashes)."""
+    two31 = float(2 ** 31)
+    u1 = (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(2 ** 31)).cast("double") + 0.5) / two31
+    u2 = (F.pmod(F.xxhash64(F.lit(seed + 1), *cols), F.lit(2 ** 31)).cast("double") + 0.5) / two31
+    return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
+
+
+def knn_points(df: DataFrame, features: list[str], target: str = "target", id_col: str = "client_id",
+               seed: int = 50) -> DataFrame:
+    """Long form (feature, id, y, x) after NULL → 0, division by the
+    population std (0 → 1) and the tie-breaking noise."""
+    long = long_form(df, features, target, id_col)
+    stats = long.groupBy("feature").agg(F.stddev_pop("x").alias("sd"))
+    scaled = (long.join(F.broadcast(stats), "feature")  # one row per feature: bounded by the column list
+              .withColumn("x", F.col("x") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)))
+              .drop("sd"))
+    mean_abs = scaled.groupBy("feature").agg(F.greatest(F.lit(1.0), F.avg(F.abs("x"))).alias("ma"))
+    return (scaled.join(F.broadcast(mean_abs), "feature")
+            .withColumn("x", F.col("x") + F.lit(KNN_NOISE) * F.col("ma") * _hash_normal(seed, "feature", "id"))
+            .drop("ma"))
+
+
+def knn_point_stats(df: DataFrame, target: str = "target", features: list[str] | None = None,
+                    id_col: str = "client_id", k: int = KNN_NEIGHBOURS, seed: int = 50) -> DataFrame:
+    """Per point of each feature: label size N_y, k_i, radius r_i and count m_i.
+
+    * r_i: distance to the k-th nearest point of the same label, k_i =
+      min(k, N_y − 1); labels with one point are left out.  In one
+      dimension the k nearest lie among the k predecessors and k successors
+      in sorted order, found by an equi-join on rank ± 1..k (ranks are
+      distributed running counts, never a per-label window).
+    * m_i: points of any label with |x_j − x_i| < r_i (equal values when
+      r_i = 0), i included: events at x_i ± r_i are merged into the sorted
+      values and read off a running count.
+    """
+    feats = features or feature_columns(df, target, exclude=(id_col,))
+    pts = knn_points(df, feats, target, id_col, seed)
+    sizes = pts.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n_y"))
+    pts = (pts.join(sizes, ["feature", "y"]).filter(F.col("n_y") > 1)
+           .withColumn("k_i", F.least(F.lit(k), F.col("n_y") - 1)))
+    pts = cut_lineage(pts.withColumn("one", F.lit(1).cast("long")), "knn-points")
+
+    # ranks inside (feature, label)
+    from ..functions.prefix import running_sums
+    ranked = running_sums(pts, ["feature", "y"], ["x", "id"], ["one"], prefix="rk_").withColumnRenamed("rk_one", "rk")
+    ranked = cut_lineage(ranked, "knn-ranked")
+    offsets = [o for j in range(1, k + 1) for o in (j, -j)]
+    asks = ranked.select("feature", "y", "id", "x", "k_i", "rk",
+                         F.explode(F.array(*[F.lit(o) for o in offsets])).alias("off")) \
+        .withColumn("nrk", F.col("rk") + F.col("off"))
+    nb = ranked.select("feature", "y", F.col("rk").alias("nrk"), F.col("x").alias("nx"))
+    dist = (asks.join(nb, ["feature", "y", "nrk"])
+            .groupBy("feature", "id", "x", "y", "k_i")
+            .agg(F.sort_array(F.collect_list(F.struct(F.abs(F.col("nx") - F.col("x")).alias("d"),
+                                                      F.col("nx").alias("nx")))).alias("ds")))  # ≤ 2k values
+    kth = F.element_at("ds", F.col("k_i").cast("int"))
+    radius = dist.select("feature", "id", "x", "y", "k_i", kth["d"].alias("r"), kth["nx"].alias("nx"))
+
+    # m_i by events merged into the sorted values of each feature.  On the
+    # side of the k-th neighbour its exact value is the bound (x ± r could
+    # round past it); the other side uses x ∓ r.
+    values = pts.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("w"))
+    pos_r = F.col("r") > 0
+    right = F.col("nx") > F.col("x")
+    upper = radius.select("feature", "id", F.lit("u").alias("side"),
+                          F.when(pos_r & right, F.col("nx")).when(pos_r, F.col("x") + F.col("r"))
+                          .otherwise(F.col("x")).alias("x"),
+                          F.when(pos_r, F.lit(0)).otherwise(F.lit(2)).alias("kind"))
+    lower = radius.select("feature", "id", F.lit("l").alias("side"),
+                          F.when(pos_r & ~right, F.col("nx")).when(pos_r, F.col("x") - F.col("r"))
+                          .otherwise(F.col("x")).alias("x"),
+                          F.when(pos_r, F.lit(2)).otherwise(F.lit(0)).alias("kind"))
+    events = upper.unionByName(lower).withColumn("w", F.lit(0).cast("long"))
+    pts_rows = values.select("feature", F.lit(None).cast(pts.schema["id"].dataType).alias("id"),
+                             F.lit(None).cast("string").alias("side"), "x", F.lit(1).alias("kind"), "w")
+    merged = running_sums(events.unionByName(pts_rows), ["feature"], ["x", "kind"], ["w"], prefix="c_")
+    counts = (merged.filter(F.col("side").isNotNull())
+              .groupBy("feature", "id").agg(
+                  (F.max(F.when(F.col("side") == "u", F.col("c_w"))) -
+                   F.max(F.when(F.col("side") == "l", F.col("c_w")))).alias("m")))
+
+    return radius.drop("nx").join(counts, ["feature", "id"]).join(sizes, ["feature", "y"])
+
+
+def mi_knn(df: DataFrame, target: str = "target", features: list[str] | None = None,
+           id_col: str = "client_id", k: int = KNN_NEIGHBOURS, seed: int = 50) -> DataFrame:
+    """M1: MI = max(0, ψ(N) + ⟨ψ(k_i)⟩ − ⟨ψ(N_y)⟩ − ⟨ψ(m_i)⟩) per feature
+    (see :func:`knn_point_stats`).  Returns (Feature, MI_Score)."""
+    from ..functions.columns import digamma
+    per_point = knn_point_stats(df, target, features, id_col, k, seed)
+    scores = per_point.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(digamma("k_i")).alias("pk"),
+        F.avg(digamma("n_y")).alias("py"), F.avg(digamma("m")).alias("pm"))
+    mi = digamma("n") + F.col("pk") - F.col("py") - F.col("pm")
+    return scores.select(F.col("feature").alias("Feature"), F.greatest(mi, F.lit(0.0)).alias("MI_Score"))

@@ -9,7 +9,7 @@ from ..operators import metrics as E
 from ..operators import profile as D
 from ..operators.client_features import invoice_measures
 from ..operators.projections import add_combinations, apply_threshold
-from ..operators.selection import filter_by_mi, mi_binned
+from ..operators.selection import filter_by_mi, mi_binned, mi_knn
 from ..sources.fixtures import cte, view, views
 from . import assemble
 from .feature_queries import O_MEASURES, feature_oracle
@@ -158,6 +158,15 @@ SELECT feature AS "Feature", greatest(sum(CAST(n AS DOUBLE) / total * ln(CAST(n
 FROM t2 GROUP BY feature"""
 
 
+@register("mi_knn")
+def q_mi_knn(spark, sf_dir):
+    """M1: k-nearest-neighbour MI of every training feature (+ the seven
+    combinations) with the target, as the reference ranks features.  Its
+    tie-breaking noise is a seeded hash, so no SQL oracle reproduces it; a
+    test checks it against a brute-force evaluation."""
+    return mi_knn(_features_with_combinations(spark, sf_dir))
+
+
 @register("mi_binned", norm_sql(_mi_scores_sql(), "Feature:s, MI_Score:f"))
 def q_mi_binned(spark, sf_dir):
     """M2: binned MI of every training feature with the target."""
