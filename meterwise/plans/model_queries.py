@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import models as L
 from ..operators import sampling as R
+from ..operators import synthetic as S
 from ..operators.client_features import starter_aggregates
 from ..operators.joins import align_by_position, left_join_on, merge_on
 from ..operators.metrics import binary_metrics, cv_metrics, mse
@@ -178,6 +180,55 @@ def q_score_test(spark, sf_dir):
     return scored.select("client_id", F.col("score").alias("target"))
 
 
+def _points(spark, sf_dir, split=True):
+    data = model_table(spark, sf_dir)
+    cols = feature_list(data)
+    train = _split(data)[0] if split else data
+    return S.to_points(train, "target", "client_id", cols), cols
+
+
+def _unpack(points, cols):
+    return points.select("key", F.col("label").alias("target"), "synthetic",
+                         *[F.col("vec")[i].alias(c) for i, c in enumerate(cols)])
+
+
+@register("smote")
+def q_smote(spark, sf_dir):
+    """SMOTE (k = 5) of the training features to equal class sizes."""
+    pts, cols = _points(spark, sf_dir, split=False)
+    return _unpack(S.smote(pts, seed=SEED), cols)
+
+
+@register("adasyn")
+def q_adasyn(spark, sf_dir):
+    """ADASYN (k = 5) of the training features."""
+    pts, cols = _points(spark, sf_dir, split=False)
+    return _unpack(S.adasyn(pts, seed=SEED), cols)
+
+
+@register("tomek_clean")
+def q_tomek_clean(spark, sf_dir):
+    """Training rows without their Tomek links."""
+    pts, cols = _points(spark, sf_dir, split=False)
+    return _unpack(S.tomek_clean(pts.withColumn("synthetic", F.lit(0))), cols)
+
+
+@register("smote_tomek")
+def q_smote_tomek(spark, sf_dir):
+    """SMOTE followed by Tomek-link removal."""
+    pts, cols = _points(spark, sf_dir, split=False)
+    return _unpack(S.smote_tomek(pts, seed=SEED), cols)
+
+
+def vector_sampler(method):
+    """Wrap a point sampler for Spark ML rows (target, features vector)."""
+    def run(d):
+        pts = d.select(F.monotonically_increasing_id().cast("string").alias("key"), F.col("target").alias("label"),
+                       vector_to_array("features").alias("vec"))
+        return S.as_training_rows(method(pts))
+    return run
+
+
 @register("compare_strategies")
 def q_compare_strategies(spark, sf_dir):
     """One model per imbalance strategy, hold-out metrics per strategy."""
@@ -186,13 +237,16 @@ def q_compare_strategies(spark, sf_dir):
     train, test = _split(data)
     tv = L.assemble(test, cols)
     strategies = {
-        "scale_pos_weight": (lambda d: R.with_class_weight(d), "weight"),
-        "RandomOverSampler": (lambda d: R.random_oversample(d, seed=SEED).drop("copy"), None),
-        "none": (lambda d: d, None),
+        "scale_pos_weight": (lambda d: L.assemble(R.with_class_weight(d), cols), "weight"),
+        "RandomOverSampler": (lambda d: L.assemble(R.random_oversample(d, seed=SEED).drop("copy"), cols), None),
+        "SMOTE": (lambda d: vector_sampler(lambda p: S.smote(p, seed=SEED))(L.assemble(d, cols)), None),
+        "ADASYN": (lambda d: vector_sampler(lambda p: S.adasyn(p, seed=SEED))(L.assemble(d, cols)), None),
+        "SMOTETomek": (lambda d: vector_sampler(lambda p: S.smote_tomek(p, seed=SEED))(L.assemble(d, cols)), None),
+        "none": (lambda d: L.assemble(d, cols), None),
     }
     out = None
     for name, (prep, wcol) in strategies.items():
-        model = L.gbt(weight_col=wcol, n_estimators=20, max_depth=4).fit(L.assemble(prep(train), cols))
+        model = L.gbt(weight_col=wcol, n_estimators=20, max_depth=4).fit(prep(train))
         m = binary_metrics(_scored(model, tv)).withColumn("strategy", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
