@@ -155,8 +155,8 @@ def q_random_search(spark, sf_dir):
     return spark.createDataFrame(rows, "draw int, mean_f1 double, params string")
 
 
-@register("cv_metrics")
-def q_cv_metrics(spark, sf_dir):
+@register("cross_validate")
+def q_cross_validate(spark, sf_dir):
     """5-fold out-of-fold metrics of the class-weight model, mean
     and population std per metric."""
     data = model_table(spark, sf_dir)

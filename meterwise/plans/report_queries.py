@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as E
 from ..operators import profile as D
+from ..operators import sampling as R
 from ..operators.client_features import invoice_measures
 from ..operators.projections import add_combinations, apply_threshold
 from ..operators.selection import filter_by_mi, mi_binned, mi_knn
@@ -304,6 +305,47 @@ def q_mse(spark, sf_dir):
     return E.mse(view(spark, sf_dir, "scored"), "target", "score")
 
 
+def _cv_oracle():
+    m = f"""WITH sc AS (SELECT s.client_id, s.target, s.score, f.fold FROM scored s JOIN (
+    SELECT client_id, CAST((row_number() OVER (PARTITION BY target ORDER BY md5(concat('42-', CAST(client_id AS VARCHAR))),
+      client_id) - 1) % 5 AS INTEGER) AS fold FROM scored) f ON s.client_id = f.client_id),
+cnt AS (SELECT fold,
+  CAST(sum(CASE WHEN target = 1 AND {PRED} = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+  CAST(sum(CASE WHEN target = 0 AND {PRED} = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+  CAST(sum(CASE WHEN target = 0 AND {PRED} = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn,
+  CAST(sum(CASE WHEN target = 1 AND {PRED} = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
+  CAST(count(*) AS DOUBLE) AS n,
+  avg(CAST(target AS DOUBLE) * ln(least(greatest(score, 1e-15), 1 - 1e-15))
+      + (1 - CAST(target AS DOUBLE)) * ln(1 - least(greatest(score, 1e-15), 1 - 1e-15))) AS neg_log_loss FROM sc GROUP BY fold),
+pr AS (SELECT *, {_z('tp', 'tp + fp')} AS prec, {_z('tp', 'tp + fn')} AS rec, {_z('tn', 'tn + fp')} AS spec FROM cnt),
+e3 AS (SELECT fold, {_z('tp + tn', 'n')} AS accuracy, (rec + spec) / 2 AS balanced_accuracy, prec AS "precision",
+  rec AS recall, {_z('2 * prec * rec', 'prec + rec')} AS f1,
+  {_z('tp * tn - fp * fn', 'sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))')} AS mcc, neg_log_loss FROM pr),
+cur AS (SELECT fold, score, pos, neg,
+    sum(pos) OVER (PARTITION BY fold ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+    sum(neg) OVER (PARTITION BY fold ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+    sum(pos) OVER (PARTITION BY fold) AS p_total, sum(neg) OVER (PARTITION BY fold) AS n_total
+  FROM (SELECT fold, score, CAST(sum(CASE WHEN target = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS pos,
+        CAST(sum(CASE WHEN target <> 1 THEN 1 ELSE 0 END) AS DOUBLE) AS neg FROM sc GROUP BY fold, score) s),
+e4 AS (SELECT fold, sum(neg * (2 * tp - pos) / 2.0) / (max(p_total) * max(n_total)) AS roc_auc,
+  sum(pos / p_total * (tp / (tp + fp))) AS average_precision FROM cur GROUP BY fold),
+fm AS (SELECT * FROM e3 JOIN e4 USING (fold))"""
+    metrics = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "mcc", "neg_log_loss", "roc_auc",
+               "average_precision"]
+    body = " UNION ALL ".join(f"""SELECT '{x}' AS metric, avg("{x}") AS mean, stddev_pop("{x}") AS std FROM fm"""
+                              for x in metrics)
+    return norm_sql(cte("scored") + ", " + m.replace("WITH ", "", 1) + "\n" + body, "metric:s, mean:f, std:f")
+
+
+@register("cv_metrics", _cv_oracle())
+def q_cv_metrics(spark, sf_dir):
+    """Metrics per stratified fold of given scores, then mean and
+    population std over the folds."""
+    scored = view(spark, sf_dir, "scored")
+    folds = R.stratified_folds(scored.select("client_id", "target"), k=5, seed=42).select("client_id", "fold")
+    return E.cv_metrics(E.fold_metrics(scored.join(folds, "client_id"), THRESHOLD))
+
+
 @register("apply_threshold", norm_sql(cte("scored") + f"SELECT client_id, target, score, {PRED} AS prediction FROM scored",
                                       "client_id:i, target:i, score:f, prediction:i"))
 def q_apply_threshold(spark, sf_dir):
