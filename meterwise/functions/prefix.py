@@ -1,17 +1,22 @@
 """Running sums over a global order without a single-partition window.
 
 ``Window.partitionBy(g).orderBy(x)`` sends every row of group ``g`` to one
-task.  For groups that are whole columns (a feature, a score table) that
-task grows with the data.  :func:`running_sums` instead
+task.  For groups that are whole columns (a feature, a class, a score table)
+that task grows with the data.  :func:`running_sums` instead
 
-1. range-partitions the rows on (group, order) — balanced partitions,
-2. computes running sums inside each (partition, group) block,
+1. cuts each group into value blocks on the first order column, with block
+   boundaries from one approximate-quantile aggregate per group (a few
+   numbers per group, computed once and applied as literals, so the block
+   of a row is a pure function of the row and every re-execution agrees),
+2. computes running sums inside each (group, block),
 3. adds the totals of the earlier blocks of the same group (one row per
-   block: at most #partitions + #groups rows).
+   block).
 
 The result equals ``sum(v).over(partitionBy(g).orderBy(x).rowsBetween(
 unboundedPreceding, currentRow))`` when the order is unique within a group
-(callers pre-aggregate ties to one row).
+(callers pre-aggregate ties to one row).  Group columns must have few
+distinct values (classes, features, folds, bags); the first order column
+must be numeric and ascending (negate it for a descending order).
 """
 
 from __future__ import annotations
@@ -19,28 +24,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed accuracy of the block-boundary sketch (relative rank error 1/1000).
+BOUNDARY_ACCURACY = 1000
 
-def running_sums(df: DataFrame, group_cols: list[str], order_cols: list, value_cols: list[str],
-                 prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
-    """Add ``{prefix}{v}`` = inclusive running sum of ``v`` per group.
 
-    ``order_cols`` may hold Column objects (e.g. ``F.col('s').desc()``).
-    """
-    orders = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    part_args = [F.col(g) for g in group_cols] + orders
-    ranged = (df.repartitionByRange(num_partitions, *part_args) if num_partitions
-              else df.repartitionByRange(*part_args))
-    ranged = ranged.withColumn("__pid", F.spark_partition_id())
-    w_local = (Window.partitionBy("__pid", *group_cols).orderBy(*orders)
+def _block_expr(df: DataFrame, group_cols: list[str], first: str, n_blocks: int):
+    if n_blocks <= 1:
+        return F.lit(0)
+    probs = [i / n_blocks for i in range(1, n_blocks)]
+    key = F.col(first).cast("double")
+    sketch = F.percentile_approx(key, probs, BOUNDARY_ACCURACY).alias("b")
+    if not group_cols:
+        row = df.agg(sketch).first()
+        bounds = sorted({x for x in (row["b"] or []) if x is not None}) if row else []
+        if not bounds:
+            return F.lit(0)
+        arr = F.array(*[F.lit(float(x)) for x in bounds])
+    else:
+        gkey = F.concat_ws("\u0001", *[F.col(g).cast("string") for g in group_cols])
+        rows = df.groupBy(gkey.alias("k")).agg(sketch).collect()  # one row per group
+        entries = []
+        for r in rows:
+            bounds = sorted({x for x in (r["b"] or []) if x is not None})
+            entries += [F.lit(r["k"]), F.array(*[F.lit(float(x)) for x in bounds]).cast("array<double>")]
+        if not entries:
+            return F.lit(0)
+        arr = F.coalesce(F.element_at(F.create_map(*entries), gkey), F.array().cast("array<double>"))
+    return F.size(F.filter(arr, lambda b: b <= key))
+
+
+def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
+                 prefix: str = "cum_", num_blocks: int | None = None) -> DataFrame:
+    """Add ``{prefix}{v}`` = inclusive running sum of ``v`` per group, in
+    ascending ``order_cols`` order."""
+    n = num_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = df.withColumn("__blk", _block_expr(df, list(group_cols), order_cols[0], n))
+    w_local = (Window.partitionBy(*group_cols, "__blk").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.select("*", *[F.sum(v).over(w_local).alias(f"__loc_{v}") for v in value_cols])
-    blocks = local.groupBy("__pid", *group_cols).agg(*[F.sum(v).alias(f"__tot_{v}") for v in value_cols])
-    w_blocks = Window.partitionBy(*group_cols).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("__pid", *group_cols, *[
+    local = tagged.select("*", *[F.sum(v).over(w_local).alias(f"__loc_{v}") for v in value_cols])
+    blocks = tagged.groupBy(*group_cols, "__blk").agg(*[F.sum(v).alias(f"__tot_{v}") for v in value_cols])
+    w_blocks = Window.partitionBy(*group_cols).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*group_cols, "__blk", *[
         F.coalesce(F.sum(f"__tot_{v}").over(w_blocks), F.lit(0)).alias(f"__off_{v}") for v in value_cols])
-    keys = ["__pid", *group_cols]
-    out = local.join(offsets, keys, "left")
-    return out.select(*[c for c in df.columns],
+    out = local.join(offsets, [*group_cols, "__blk"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
                       *[(F.col(f"__off_{v}") + F.col(f"__loc_{v}")).alias(f"{prefix}{v}") for v in value_cols])
 
 

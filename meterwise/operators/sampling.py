@@ -27,9 +27,12 @@ def hash_rank(df: DataFrame, group_cols: list[str], id_col: str, seed: int | str
     """1-based rank of each row inside its group in seeded-hash order
     (ties on the hash broken by id)."""
     k = key if key is not None else hash_key(id_col, seed)
-    tmp = df.withColumn("__h", k).withColumn("__one", F.lit(1).cast("long"))
-    out = running_sums(tmp, group_cols, ["__h", id_col], ["__one"], prefix="__cum")
-    return out.withColumn(name, F.col("__cum__one")).drop("__h", "__one", "__cum__one")
+    # the first 15 hex digits as a number order like the hex string itself
+    tmp = (df.withColumn("__h", k)
+           .withColumn("__h15", F.conv(F.substring("__h", 1, 15), 16, 10).cast("long"))
+           .withColumn("__one", F.lit(1).cast("long")))
+    out = running_sums(tmp, group_cols, ["__h15", "__h", id_col], ["__one"], prefix="__cum")
+    return out.withColumn(name, F.col("__cum__one")).drop("__h", "__h15", "__one", "__cum__one")
 
 
 def _class_counts(df, label):
@@ -74,7 +77,7 @@ def ordered_folds(df: DataFrame, label: str = "target", id_col: str = "client_id
     as contiguous runs.
     """
     counts = _class_counts(df, label)
-    start = running_sums(counts.withColumn("__g", F.lit(0)), ["__g"], [label], ["__n_class"], prefix="__end")
+    start = running_sums(counts, [], [label], ["__n_class"], prefix="__end")
     start = start.select(label, "__n_class", (F.col("__end__n_class") - F.col("__n_class")).alias("__start"))
     # allocation[i, c] = #{j in [s, s + n) : j mod k = i}; run bounds per fold
     alloc = [F.floor((F.col("__start") + F.col("__n_class") - 1 - i) / k).cast("long") -

@@ -19,7 +19,7 @@ def test_running_sums_equal_window(spark):
     rnd = random.Random(1)
     rows = [(g, i, rnd.randint(0, 9)) for g in range(3) for i in range(200)]
     df = spark.createDataFrame(rows, "g int, x int, v long").repartition(7)
-    got = {(r.g, r.x): r.cum_v for r in running_sums(df, ["g"], ["x"], ["v"], num_partitions=5).collect()}
+    got = {(r.g, r.x): r.cum_v for r in running_sums(df, ["g"], ["x"], ["v"], num_blocks=5).collect()}
     w = Window.partitionBy("g").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     exp = {(r.g, r.x): r.c for r in df.select("g", "x", F.sum("v").over(w).alias("c")).collect()}
     assert got == exp
