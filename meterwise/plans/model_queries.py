@@ -206,7 +206,24 @@ def q_adasyn(spark, sf_dir):
     return _unpack(S.adasyn(pts, seed=SEED), cols)
 
 
-@register("tomek_clean")
+def _tomek_oracle():
+    from .report_queries import COMBI_SQL
+    feats = assemble.TRAIN_COLUMNS[2:] + [n for n, _ in COMBI_SQL]
+    combos = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in COMBI_SQL)
+    vec = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0.0)" for f in feats)
+    cols = ", ".join(f"vec[{i + 1}] AS {f}" for i, f in enumerate(feats))
+    sql = f"""WITH ft AS ({feature_oracle(True, raw=True)}),
+fc AS (SELECT *, {combos} FROM ft),
+pts AS (SELECT CAST(client_id AS VARCHAR) AS key, target AS label, [{vec}] AS vec FROM fc),
+nn AS (SELECT a.key AS a, arg_min(b.key, struct_pack(d := list_distance(a.vec, b.vec), k := b.key)) AS b
+  FROM pts a, pts b WHERE a.key <> b.key GROUP BY a.key),
+links AS (SELECT n1.a FROM nn n1 JOIN nn n2 ON n1.b = n2.a AND n2.b = n1.a
+  JOIN pts p1 ON p1.key = n1.a JOIN pts p2 ON p2.key = n1.b WHERE p1.label <> p2.label)
+SELECT key, label AS target, 0 AS synthetic, {cols} FROM pts WHERE key NOT IN (SELECT a FROM links)"""
+    return norm_sql(sql, ", ".join(["key:s", "target:i", "synthetic:i"] + [f"{f}:f" for f in feats]))
+
+
+@register("tomek_clean", _tomek_oracle())
 def q_tomek_clean(spark, sf_dir):
     """Training rows without their Tomek links."""
     pts, cols = _points(spark, sf_dir, split=False)
