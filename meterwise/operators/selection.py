@@ -90,10 +90,11 @@ KNN_NOISE = 1e-10
 
 
 def _hash_normal(seed: int, *cols):
-    """A seeded standard-normal draw per row (Box–Muller on two hashes)."""
-    two31 = float(2 ** 31)
-    u1 = (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(2 ** 31)).cast("double") + 0.5) / two31
-    u2 = (F.pmod(F.xxhash64(F.lit(seed + 1), *cols), F.lit(2 ** 31)).cast("double") + 0.5) / two31
+    """A seeded standard-normal draw per row (Box–Muller on two md5 draws)."""
+    from .synthetic import hash32
+    two32 = float(2 ** 32)
+    u1 = (hash32(seed, "n1", *cols).cast("double") + 0.5) / two32
+    u2 = (hash32(seed, "n2", *cols).cast("double") + 0.5) / two32
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
 
 

@@ -481,3 +481,81 @@ def q_align_by_position(spark, sf_dir):
     h = view(spark, sf_dir, "harvest")
     return align_by_position(h.select("row_id", "quakers"), h.select(F.col("row_id").alias("rid"), "quality_score"),
                              "row_id", "rid").drop("rid")
+
+
+# --------------------------------------------------------------------------- #
+# SQL oracles of the k-NN samplers (brute-force neighbours, same md5 draws)
+# --------------------------------------------------------------------------- #
+def _sampler_sql(kind: str) -> str:
+    from .report_queries import COMBI_SQL
+    feats = assemble.TRAIN_COLUMNS[2:] + [n for n, _ in COMBI_SQL]
+    combos = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in COMBI_SQL)
+    vec = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0.0)" for f in feats)
+    newv = ", ".join(f"vec[{i + 1}] + u * (nvec[{i + 1}] - vec[{i + 1}])" for i in range(len(feats)))
+    h32 = "('0x' || substr(md5(concat_ws('-', '{seed}', '{salt}', {a}, CAST({b} AS VARCHAR))), 1, 8))::BIGINT"
+    nn_draw = h32.format(seed=SEED, salt="nn", a="d.key", b="d.s")
+    u_draw = h32.format(seed=SEED, salt="u", a="d.key", b="d.s")
+    head = f"""WITH ft AS ({feature_oracle(True, raw=True)}),
+fc AS (SELECT *, {combos} FROM ft),
+pts AS (SELECT CAST(client_id AS VARCHAR) AS key, target AS label, [{vec}] AS vec FROM fc),
+cls AS (SELECT label, count(*) AS n FROM pts GROUP BY label),
+st AS (SELECT arg_max(label, n * 10 - label) AS maj, arg_min(label, n * 10 + label) AS mino,
+  max(n) AS n_maj, min(n) AS n_min FROM cls),
+mino AS (SELECT p.* FROM pts p, st WHERE p.label = st.mino),
+mnn AS (SELECT a.key, b.key AS rid, row_number() OVER (PARTITION BY a.key ORDER BY list_distance(a.vec, b.vec), b.key)
+  AS nn_rank FROM mino a, mino b WHERE a.key <> b.key QUALIFY nn_rank <= 5),
+kf AS (SELECT key, count(*) AS k_found FROM mnn GROUP BY key),"""
+    if kind == "smote":
+        counts = """cnt AS (SELECT m.key, st.n_maj - st.n_min AS g, st.n_min,
+    row_number() OVER (ORDER BY md5('42-' || m.key), m.key) AS rk FROM mino m, st),
+nnew AS (SELECT key, g // n_min + CASE WHEN rk <= g % n_min THEN 1 ELSE 0 END AS n_new FROM cnt),"""
+        base = "pts"
+    else:
+        counts = """anb AS (SELECT a.key, b.label AS nl, row_number() OVER (PARTITION BY a.key
+    ORDER BY list_distance(a.vec, b.vec), b.key) AS r FROM mino a, pts b WHERE a.key <> b.key QUALIFY r <= 5),
+hard AS (SELECT anb.key, sum(CASE WHEN anb.nl <> st.mino THEN 1.0 ELSE 0.0 END) / 5 AS ratio FROM anb, st GROUP BY anb.key),
+nnew AS (SELECT h.key, CAST(round_even(h.ratio / (SELECT sum(ratio) FROM hard) * (st.n_maj - st.n_min), 0) AS BIGINT)
+  AS n_new FROM hard h, st),"""
+        base = "pts"
+    gen = f"""d AS (SELECT n.key, k.k_found, s FROM nnew n JOIN kf k ON n.key = k.key, range(1, n.n_new + 1) t(s)
+  WHERE n.n_new > 0),
+dr AS (SELECT d.key, d.s, 1 + {nn_draw} % d.k_found AS nn_rank, ({u_draw} + 0.5) / 4294967296.0 AS u FROM d),
+syn AS (SELECT dr.key || '#' || CAST(dr.s AS VARCHAR) AS key, st.mino AS label, 1 AS synthetic, [{newv}] AS vec
+  FROM dr JOIN mnn ON dr.key = mnn.key AND dr.nn_rank = mnn.nn_rank
+  JOIN mino a ON a.key = dr.key JOIN (SELECT key AS rid, vec AS nvec FROM mino) b ON b.rid = mnn.rid, st),
+res AS (SELECT key, label, 0 AS synthetic, vec FROM {base} UNION ALL SELECT key, label, synthetic, vec FROM syn)"""
+    return head + counts + gen, feats
+
+
+def _unpacked_sql(body: str, feats, source: str = "res") -> str:
+    cols = ", ".join(f"vec[{i + 1}] AS {f}" for i, f in enumerate(feats))
+    return norm_sql(body + f"\nSELECT key, label AS target, synthetic, {cols} FROM {source}",
+                    ", ".join(["key:s", "target:i", "synthetic:i"] + [f"{f}:f" for f in feats]))
+
+
+def _smote_oracle():
+    body, feats = _sampler_sql("smote")
+    return _unpacked_sql(body, feats)
+
+
+def _adasyn_oracle():
+    body, feats = _sampler_sql("adasyn")
+    return _unpacked_sql(body, feats)
+
+
+def _smote_tomek_oracle():
+    body, feats = _sampler_sql("smote")
+    body += """,
+nn1 AS (SELECT a.key AS a, arg_min(b.key, struct_pack(d := list_distance(a.vec, b.vec), k := b.key)) AS b
+  FROM res a, res b WHERE a.key <> b.key GROUP BY a.key),
+links AS (SELECT n1.a FROM nn1 n1 JOIN nn1 n2 ON n1.b = n2.a AND n2.b = n1.a
+  JOIN res p1 ON p1.key = n1.a JOIN res p2 ON p2.key = n1.b WHERE p1.label <> p2.label),
+cleaned AS (SELECT * FROM res WHERE key NOT IN (SELECT a FROM links))"""
+    return _unpacked_sql(body, feats, "cleaned")
+
+
+from .registry import ORACLES as _ORACLES  # noqa: E402
+
+_ORACLES["smote"] = _smote_oracle()
+_ORACLES["adasyn"] = _adasyn_oracle()
+_ORACLES["smote_tomek"] = _smote_tomek_oracle()

@@ -14,7 +14,7 @@ from ..operators.selection import filter_by_mi, mi_binned, mi_knn
 from ..sources.fixtures import cte, view, views
 from . import assemble
 from .feature_queries import O_MEASURES, feature_oracle
-from .registry import norm_sql, register
+from .registry import ORACLES, norm_sql, register
 
 INVOICE_COLS = ["client_id", "invoice_date", "invoice_date_text", "tarif_type", "counter_number", "counter_statue",
                 "counter_code", "reading_remarque", "counter_coefficient", "consommation_level_1",
@@ -351,3 +351,47 @@ def q_cv_metrics(spark, sf_dir):
 def q_apply_threshold(spark, sf_dir):
     """label = score ≥ threshold."""
     return _scored(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------- #
+# SQL oracle of the k-NN MI estimator (M1)
+# --------------------------------------------------------------------------- #
+def _digamma_sql(x: str) -> str:
+    from ..functions.columns import _DIGAMMA_SERIES, _DIGAMMA_SHIFT
+    y = f"(CAST({x} AS DOUBLE) + {float(_DIGAMMA_SHIFT)})"
+    series = f"ln({y}) - 1.0 / (2.0 * {y})" + "".join(f" - ({c!r}) / pow({y}, {p})" for p, c in _DIGAMMA_SERIES)
+    rec = " + ".join(f"1.0 / (CAST({x} AS DOUBLE) + {float(i)})" for i in range(_DIGAMMA_SHIFT))
+    return f"(({series}) - ({rec}))"
+
+
+def _mi_knn_sql() -> str:
+    feats = [c for c in assemble.TRAIN_COLUMNS if c not in ("client_id", "target")] + [n for n, _ in COMBI_SQL]
+    combos = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in COMBI_SQL)
+    filled = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0.0) AS {f}" for f in feats)
+    h32 = "('0x' || substr(md5(concat_ws('-', '50', '{salt}', feature, CAST(id AS VARCHAR))), 1, 8))::BIGINT"
+    gap = ", ".join(f"{f}(x, {j}) OVER w" for j in (1, 2, 3) for f in ("lag", "lead"))
+    return f"""WITH ft AS ({feature_oracle(True, raw=True)}),
+fc AS (SELECT *, {combos} FROM ft),
+filled AS (SELECT client_id AS id, CAST(target AS INTEGER) AS y, {filled} FROM fc),
+lf AS (UNPIVOT filled ON {', '.join(feats)} INTO NAME feature VALUE x),
+sc AS (SELECT feature, id, y, x / CASE WHEN stddev_pop(x) OVER (PARTITION BY feature) > 0
+         THEN stddev_pop(x) OVER (PARTITION BY feature) ELSE 1.0 END AS x FROM lf),
+nz AS (SELECT feature, id, y, x + 1e-10 * greatest(1.0, avg(abs(x)) OVER (PARTITION BY feature))
+         * (sqrt(-2.0 * ln((CAST({h32.format(salt='n1')} AS DOUBLE) + 0.5) / 4294967296.0))
+            * cos(2.0 * 3.141592653589793 * ((CAST({h32.format(salt='n2')} AS DOUBLE) + 0.5) / 4294967296.0))) AS x
+       FROM sc),
+sized AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS n_y FROM nz),
+pts AS (SELECT *, least(3, n_y - 1) AS k_i FROM sized WHERE n_y > 1),
+nb AS (SELECT feature, id, y, x, n_y, k_i, list_sort(list_filter([{gap}], lambda v: v IS NOT NULL)) AS nbs FROM pts
+       WINDOW w AS (PARTITION BY feature, y ORDER BY x, id)),
+rad AS (SELECT feature, id, y, x, n_y, k_i, list_sort(list_transform(nbs, lambda v: abs(v - x)))[k_i] AS r FROM nb),
+cnt AS (SELECT a.feature, a.id, count(*) AS m FROM rad a JOIN pts b ON a.feature = b.feature
+          AND b.x >= a.x - 2 * a.r AND b.x <= a.x + 2 * a.r
+        WHERE (a.r > 0 AND abs(b.x - a.x) < a.r) OR (a.r = 0 AND b.x = a.x)
+        GROUP BY a.feature, a.id),
+per AS (SELECT rad.feature, rad.k_i, rad.n_y, cnt.m FROM rad JOIN cnt ON rad.feature = cnt.feature AND rad.id = cnt.id)
+SELECT feature AS "Feature", greatest(0.0, {_digamma_sql('count(*)')} + avg({_digamma_sql('k_i')})
+  - avg({_digamma_sql('n_y')}) - avg({_digamma_sql('m')})) AS "MI_Score" FROM per GROUP BY feature"""
+
+
+ORACLES["mi_knn"] = norm_sql(_mi_knn_sql(), "Feature:s, MI_Score:f")
