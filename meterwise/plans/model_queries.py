@@ -144,7 +144,7 @@ def q_random_search(spark, sf_dir):
     stratified folds; returns the F1 of every draw."""
     data = model_table(spark, sf_dir)
     cols = feature_list(data)
-    d = L.assemble(R.with_class_weight(data.withColumn("fold", F.col("fold") % SEARCH_FOLDS)), cols)
+    d = L.assemble(R.with_class_weight(R.stratified_folds(data.drop("fold"), k=SEARCH_FOLDS, seed=SEED)), cols)
     # the reference's space draws 100-500 trees; the registered query keeps
     # every other range and draws 10-40 trees to bound its run time
     space = {**L.SEARCH_SPACE, "n_estimators": (10, 40, "int"), "max_depth": (3, 6, "int")}
