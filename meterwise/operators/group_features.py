@@ -38,6 +38,18 @@ def region_consumption_std(client: DataFrame, aggregates: DataFrame) -> DataFram
         *[_pooled_std(lv).alias(f"{REGION_STD_PREFIX}{lv[len('consommation'):]}") for lv in LEVELS])
 
 
+def region_summary(client: DataFrame, aggregates: DataFrame, with_target: bool = True) -> DataFrame:
+    """G3 and (with the target) G1 from one join and one aggregate by region."""
+    cols = ["client_id", "region"] + (["target"] if with_target else [])
+    rows = client.select(*cols).join(aggregates, "client_id", "left")
+    exprs = [_pooled_std(lv).alias(f"{REGION_STD_PREFIX}{lv[len('consommation'):]}") for lv in LEVELS]
+    if with_target:
+        w = F.greatest(F.coalesce(F.col("n_invoices"), F.lit(0)), F.lit(1))
+        t = F.col("target").cast("double")
+        exprs.append(F.try_divide(F.sum(w * t), F.sum(F.when(t.isNotNull(), w))).alias("f_t_region_fraud_rate"))
+    return rows.groupBy("region").agg(*exprs)
+
+
 def region_fraud_rate(client: DataFrame, aggregates: DataFrame) -> DataFrame:
     """G1: mean target over client ⋈ invoice rows per region, i.e. each
     client weighted by its invoice count (one row when it has none)."""

@@ -76,13 +76,8 @@ def build_features(client: DataFrame, invoice: DataFrame, with_target: bool | No
                        F.coalesce("f_counter_statue_error_occured", F.lit(1)))
            .withColumn("f_client_tenure_days", F.datediff("last_invoice_date", "first_creation_date")))
 
-    region_tables = [G.region_billing_median(client, gaps),
-                     G.region_consumption_std(client, agg)]
-    if with_target:
-        region_tables.append(G.region_fraud_rate(client, agg))
-    per_region = region_tables[0]
-    for t in region_tables[1:]:
-        per_region = per_region.join(t, "region", "full")
+    per_region = (G.region_billing_median(client, gaps)
+                  .join(G.region_summary(client, agg, with_target), "region", "full"))
     out = out.join(G.region_to_clients(client, per_region), "client_id", "left")
 
     if with_target:

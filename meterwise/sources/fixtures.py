@@ -100,7 +100,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     path = _MATERIALIZED.get(key)
     if path is None:
-        df = cut_lineage(view_plan(spark, sf_dir, name), f"input-{name}")
+        # as many files as task slots, so scans of the input use every core
+        # (tables on a cluster already come split into many files)
+        plan = view_plan(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
+        df = cut_lineage(plan, f"input-{name}")
         _MATERIALIZED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
         return df
     return spark.read.parquet(path)
