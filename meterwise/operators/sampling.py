@@ -109,12 +109,13 @@ def random_oversample(df: DataFrame, label: str = "target", id_col: str = "clien
     counts = _class_counts(df, label)
     stats = counts.agg(F.max("__n_class").alias("__n_maj"), F.min("__n_class").alias("__n_min"),
                        F.max_by(label, F.struct("__n_class", -F.col(label))).alias("__maj"))
-    ranked = hash_rank(df, [label], id_col, seed)
     n_maj, n_min, maj = (scalar_of(stats, c) for c in ("__n_maj", "__n_min", "__maj"))
-    copies = F.when(F.col(label) != maj, (n_maj / n_min).cast("long") +
-                    (F.col("rank") <= n_maj % n_min).cast("long")).otherwise(F.lit(1).cast("long"))
-    return (ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-            .drop("rank"))
+    # only minority rows need a rank; majority rows pass through once
+    ranked = hash_rank(df.filter(F.col(label) != maj), [label], id_col, seed)
+    copies = (n_maj / n_min).cast("long") + (F.col("rank") <= n_maj % n_min).cast("long")
+    minority = (ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+                .drop("rank"))
+    return df.filter(F.col(label) == maj).withColumn("copy", F.lit(0).cast("long")).unionByName(minority)
 
 
 def class_weight(df: DataFrame, label: str = "target") -> DataFrame:
@@ -142,11 +143,26 @@ def balanced_bags(df: DataFrame, label: str = "target", id_col: str = "client_id
     """``n_bags`` balanced bags: every minority row, and n_min majority
     rows drawn without replacement (seeded hash per bag).  Adds ``bag``."""
     counts = _class_counts(df, label)
-    stats = counts.agg(F.min("__n_class").alias("__n_min"),
-                       F.max_by(label, F.struct("__n_class", -F.col(label))).alias("__maj"))
-    rows = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1))))
+    st = counts.agg(F.min("__n_class").alias("n_min"), F.max("__n_class").alias("n_maj"),
+                    F.max_by(label, F.struct("__n_class", -F.col(label))).alias("maj")).first()
+    n_min, n_maj, maj = int(st["n_min"]), int(st["n_maj"]), st["maj"]
+    bags = F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1)))
+    minority = df.filter(F.col(label) != F.lit(maj)).withColumn("bag", bags)
+    majority = df.filter(F.col(label) == F.lit(maj)).withColumn("bag", bags)
     key = F.md5(F.concat(F.lit(f"{seed}-"), F.col("bag").cast("string"), F.lit("-"), F.col(id_col).cast("string")))
-    ranked = hash_rank(rows, ["bag", label], id_col, seed, key=key)
-    n_min, maj = scalar_of(stats, "__n_min"), scalar_of(stats, "__maj")
-    keep = (F.col(label) != maj) | (F.col("rank") <= n_min)
-    return ranked.filter(keep).drop("rank")
+    h15 = F.conv(F.substring(key, 1, 15), 16, 10).cast("double") / float(16 ** 15)
+    # Exact draw with a pre-filter: rows whose hash is below a threshold are
+    # exactly the rows ranked first in hash order, so ranking only them gives
+    # the same first n_min rows as ranking the whole majority — provided every
+    # bag keeps at least n_min rows; otherwise the threshold is widened.
+    share = min(1.0, 1.2 * n_min / max(n_maj, 1) + 64.0 / max(n_maj, 1))
+    while True:
+        kept = majority.filter(h15 < F.lit(share)) if share < 1.0 else majority
+        short = (kept.groupBy("bag").count().filter(F.col("count") < n_min).limit(1).count() > 0
+                 if share < 1.0 else False)
+        if not short:
+            break
+        share = min(1.0, share * 2)
+    ranked = hash_rank(kept, ["bag"], id_col, seed, key=key)
+    drawn = ranked.filter(F.col("rank") <= n_min).drop("rank")
+    return minority.unionByName(drawn)
