@@ -142,12 +142,19 @@ def knn_point_stats(df: DataFrame, target: str = "target", features: list[str] |
                          F.explode(F.array(*[F.lit(o) for o in offsets])).alias("off")) \
         .withColumn("nrk", F.col("rk") + F.col("off"))
     nb = ranked.select("feature", "y", F.col("rk").alias("nrk"), F.col("x").alias("nx"))
-    dist = (asks.join(nb, ["feature", "y", "nrk"])
-            .groupBy("feature", "id", "x", "y", "k_i")
-            .agg(F.sort_array(F.collect_list(F.struct(F.abs(F.col("nx") - F.col("x")).alias("d"),
-                                                      F.col("nx").alias("nx")))).alias("ds")))  # ≤ 2k values
+    # the ≤ 2k candidates are pivoted by offset with plain max(when(..))
+    # aggregates (no collect_list object aggregate), then sorted per row
+    cand = asks.join(nb, ["feature", "y", "nrk"]).withColumn(
+        "c", F.struct(F.abs(F.col("nx") - F.col("x")).alias("d"), F.col("nx").alias("nx")))
+    dist = (cand.groupBy("feature", "id", "x", "y", "k_i")
+            .agg(*[F.max(F.when(F.col("off") == o, F.col("c"))).alias(f"c{i}") for i, o in enumerate(offsets)])
+            .select("feature", "id", "x", "y", "k_i",
+                    F.array_sort(F.filter(F.array(*[F.col(f"c{i}") for i in range(len(offsets))]),
+                                          lambda c: c.isNotNull())).alias("ds")))
     kth = F.element_at("ds", F.col("k_i").cast("int"))
-    radius = dist.select("feature", "id", "x", "y", "k_i", kth["d"].alias("r"), kth["nx"].alias("nx"))
+    # read three times below (two event sides and the final join): written once
+    radius = cut_lineage(dist.select("feature", "id", "x", "y", "k_i", kth["d"].alias("r"), kth["nx"].alias("nx")),
+                         "knn-radius")
 
     # m_i by events merged into the sorted values of each feature.  On the
     # side of the k-th neighbour its exact value is the bound (x ± r could
