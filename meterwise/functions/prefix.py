@@ -62,7 +62,9 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], va
     w_local = (Window.partitionBy(*group_cols, "__blk").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = tagged.select("*", *[F.sum(v).over(w_local).alias(f"__loc_{v}") for v in value_cols])
-    blocks = tagged.groupBy(*group_cols, "__blk").agg(*[F.sum(v).alias(f"__tot_{v}") for v in value_cols])
+    # block totals from the windowed rows: already partitioned by (group,
+    # block), so no new exchange, and the input is read once
+    blocks = local.groupBy(*group_cols, "__blk").agg(*[F.sum(v).alias(f"__tot_{v}") for v in value_cols])
     w_blocks = Window.partitionBy(*group_cols).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(*group_cols, "__blk", *[
         F.coalesce(F.sum(f"__tot_{v}").over(w_blocks), F.lit(0)).alias(f"__off_{v}") for v in value_cols])
