@@ -107,12 +107,13 @@ def random_oversample(df: DataFrame, label: str = "target", id_col: str = "clien
     (0 = the original row).  Binary labels.
     """
     counts = _class_counts(df, label)
-    stats = counts.agg(F.max("__n_class").alias("__n_maj"), F.min("__n_class").alias("__n_min"),
-                       F.max_by(label, F.struct("__n_class", -F.col(label))).alias("__maj"))
-    n_maj, n_min, maj = (scalar_of(stats, c) for c in ("__n_maj", "__n_min", "__maj"))
+    # one row of three class statistics, read once
+    st = counts.agg(F.max("__n_class").alias("n_maj"), F.min("__n_class").alias("n_min"),
+                    F.max_by(label, F.struct("__n_class", -F.col(label))).alias("maj")).first()
+    n_maj, n_min, maj = int(st["n_maj"]), int(st["n_min"]), F.lit(st["maj"])
     # only minority rows need a rank; majority rows pass through once
     ranked = hash_rank(df.filter(F.col(label) != maj), [label], id_col, seed)
-    copies = (n_maj / n_min).cast("long") + (F.col("rank") <= n_maj % n_min).cast("long")
+    copies = F.lit(n_maj // n_min).cast("long") + (F.col("rank") <= F.lit(n_maj % n_min)).cast("long")
     minority = (ranked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
                 .drop("rank"))
     return df.filter(F.col(label) == maj).withColumn("copy", F.lit(0).cast("long")).unionByName(minority)
