@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ._tables import cut, text_key
 
-NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of any text
 WIDTH, RANKS, STRETCH = 13, 3, 8192
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -37,7 +38,7 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def benchmark_items(df: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
