@@ -23,7 +23,6 @@ rows are repeated; an empty table gives no segment.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from array import array
@@ -34,11 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._arrays import Hasher, slices
 from ._tables import cut, join_path, open_store, shared_folder, text_key
 
 CHUNK = 8
 SEGMENT_TOKENS = 1 << 20
-CACHE_PIECES = 600_000
+SLOTS, MAX_PIECES = 1 << 22, 2_000_000
 MAGIC = int.from_bytes(b"DACSEG01", "little")
 SEGMENT = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
                      ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -151,19 +151,19 @@ class Segment:
 
 
 class Encoder:
-    """Whole texts to ids, remembering the ids of words and of pieces.
-
-    The byte-level pre-tokenizer never joins text across a single blank between
-    two other characters, so a text is the sequence of its pieces between such
-    blanks, each (but the first) with its blank in front.  A piece of letters
-    with closing marks, or several such lines, splits further into words by the
-    pre-tokenizer's own rule, and the tokenizer's model encodes the words; any
-    other piece goes through the whole tokenizer.  Both stores are bounded by
-    CACHE_PIECES entries and emptied when full.
+    """Whole texts to ids, remembering the ids of pieces in flat arrays.
+
+    Texts are cut into pieces where the byte-level pre-tokenizer always cuts:
+    before a single blank or line break between two other characters, and
+    before a mark that follows a Latin letter.  (Near characters that might be
+    Unicode blanks there is no cut, which is always right.)  A piece is named
+    by the 64-bit hash of its bytes; distinct pieces are encoded once by the
+    tokenizer - plain words by its model, the rest as a whole - and their ids
+    stay in a pool behind an open-addressing table.  The table is emptied when
+    it holds MAX_PIECES.
     """
 
-    _SPLIT = re.compile(r"(?<=\S)(?= \S)")
-    _MARKS = ".,;:!?|)"
+    _MARKS = b".,;:!?)"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -171,65 +171,125 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         other = [b for b in range(256) if b not in set(plain)]
         self.symbols = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.is_mark, self.is_letter = np.zeros(256, bool), np.zeros(256, bool)
+        self.is_mark[list(self._MARKS)] = True
+        self.is_letter[65:91] = self.is_letter[97:123] = True
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.entry = np.full(SLOTS, -1, np.int32)
+        self.n = 0
+        self.at, self.len = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.pool, self.used = np.zeros(4096, np.uint32), 0
+
+    def _starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """First bytes of the pieces."""
+        n = len(data)
+        p = np.flatnonzero((data == 0x20) | (data == 0x0A) | self.is_mark[data])
+        p = p[(p > 0) & (p < n - 1)]
+        d = data
+        before, after = d[p - 1], d[p + 1]
+        mark = self.is_mark[d[p]]
+        letter = self.is_letter[before] | ((d[np.maximum(p - 2, 0)] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+        b2, b3, a2 = d[np.maximum(p - 2, 0)], d[np.maximum(p - 3, 0)], d[np.minimum(p + 2, n - 1)]
+        odd_before = ((b2 == 0xC2) & ((before == 0x85) | (before == 0xA0))) | (((b3 == 0xE1) | (b3 == 0xE2) | (b3 == 0xE3)) & ((b2 == 0x80) | (b2 == 0x81) | (b2 == 0x9A)))
+        odd_after = ((after == 0xC2) & ((a2 == 0x85) | (a2 == 0xA0))) | (((after == 0xE1) | (after == 0xE2) | (after == 0xE3)) & ((a2 == 0x80) | (a2 == 0x81) | (a2 == 0x9A)))
+        blank = (before > 0x20) & (after > 0x20) & ~odd_before & ~odd_after
+        first = np.zeros(n, bool)
+        first[p[np.where(mark, letter, blank)]] = True
+        edge = off[:-1][np.diff(off) > 0]
+        first[edge] = True
+        # a blank or line break at the end of a text is not between two characters of that text
+        last = off[1:][np.diff(off) > 0] - 1
+        tail = last[((d[last] == 0x20) | (d[last] == 0x0A)) & ~np.isin(last, edge)]
+        first[tail] = False
+        return np.flatnonzero(first)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int32)
+        todo, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(todo):
+            e = self.entry[slot]
+            hit = (e >= 0) & (self.keys[slot] == h[todo])
+            out[todo[hit]] = e[hit]
+            on = (e >= 0) & ~hit
+            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """Distinct new pieces."""
+        m = len(h)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(len(flat), len(self.pool)), np.uint32)])
+        if self.n + m > len(self.at):
+            more = np.zeros(max(m, len(self.at)), np.int64)
+            self.at, self.len = np.concatenate([self.at[:self.n], more]), np.concatenate([self.len[:self.n], more])
+        self.pool[self.used:self.used + len(flat)] = flat
+        self.at[self.n:self.n + m] = self.used + np.cumsum(size) - size
+        self.len[self.n:self.n + m] = size
+        entry = np.arange(self.n, self.n + m, dtype=np.int32)
+        self.used, self.n = self.used + len(flat), self.n + m
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(entry):
+            free = np.flatnonzero(self.entry[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.entry[slot[put]], self.keys[slot[put]] = entry[put], h[put]
+            left = np.ones(len(entry), bool)
+            left[put] = False
+            h, entry, slot = h[left], entry[left], (slot[left] + 1) & (SLOTS - 1)
+
+    def _model(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes()
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            mapped = word.encode().decode("latin-1").translate(self.symbols)
-            ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-        return ids
-
-    def _line(self, lead: str, line: str) -> bytes | None:
-        if line.isalpha():
-            return self._word(lead + line)
-        core = line.rstrip(self._MARKS)
-        return self._word(lead + core) + self._word(line[len(core):]) if core.isalpha() else None
-
-    def _compose(self, lead: str, piece: str) -> bytes | None:
-        """Ids of ``lead + piece`` from its words, or None if it is not made of letters, marks and line breaks."""
-        if "\n" not in piece:
-            return self._line(lead, piece)
-        lines = [self._line("" if k else lead, line) for k, line in enumerate(piece.split("\n"))]
-        return None if None in lines else self._word("\n").join(lines)
-
-    def _all(self, lead: str, pieces: list[str]) -> list[bytes]:
-        out = [self._compose(lead, p) for p in pieces]
+        """Ids of whole pieces: words of Latin letters by the model, others by the whole tokenizer."""
+        out: list[bytes | None] = []
+        for p in pieces:
+            body = p[1:] if p[0] in " \n" else p
+            if body.isalpha() and max(body) < "\u0250":
+                out.append(self._model("\n") + self._model(body) if p[0] == "\n" else self._model(p))
+            else:
+                out.append(None)
         hard = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(hard, self._encode([lead + pieces[i] for i in hard])):
-            out[i] = x
+        for i, e in zip(hard, self.tokenizer.encode_batch_fast([pieces[i] for i in hard], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        odd = {p for p in pieces if not p or p[0].isspace() or p[-1].isspace()}
-        self.odd |= odd
-        new = list(pieces - odd)
-        self.known.update(zip(new, self._all(" ", new)))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_PIECES or len(self.odd) > CACHE_PIECES:
-            self.known, self.odd = {}, set()
-        if len(self.words) > CACHE_PIECES:
-            self.words = {}
-        pieces = [t.split(" ") for t in texts]
-        rest = [p[1:] for p in pieces]
-        self._learn(set().union(*rest) - self.known.keys())
-        first = [p[0] for p in pieces]
-        again = [i for i, (f, r) in enumerate(zip(first, rest)) if not f or f[-1].isspace() or not self.odd.isdisjoint(r)]
-        if again:
-            for i in again:
-                cuts = self._SPLIT.split(texts[i])
-                first[i], rest[i] = cuts[0], [c[1:] for c in cuts[1:]]
-            missing = list(set().union(*(rest[i] for i in again)) - self.known.keys())
-            self.known.update(zip(missing, self._all(" ", missing)))
-        get = self.known.__getitem__
-        return [a + b"".join(map(get, r)) for a, r in zip(self._all("", first), rest)]
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        rows = len(off) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
+        s = self._starts(data, off)
+        h = Hasher(data, lower=False).ranges(s, np.r_[s[1:], len(data)])
+        if self.n > MAX_PIECES:
+            self.reset()
+        found = self._find(h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            names, first = np.unique(h[new], return_index=True)
+            raw, ends = data.tobytes(), np.r_[s[1:], len(data)]
+            self._add(names, self._encode([raw[s[i]:ends[i]].decode() for i in new[first]]))
+            found[new] = self._find(h[new])
+        size = self.len[found]
+        total = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[found] - (total - size), size) + np.arange(total[-1])]
+        row = np.searchsorted(off, s, side="right") - 1
+        return ids, np.bincount(row, weights=size, minlength=rows).astype(np.int64)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: later tasks find its pieces."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int, folder: str | None = None,
@@ -238,40 +298,37 @@ def write(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id
     folder = folder or shared_folder(df.sparkSession, "tokens")
     rows = (df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .repartitionByRange("id").sortWithinPartitions("id", text_key(F.col("text"))))
-    end = array("I", [end_id]).tobytes()
-
     def put(batches):
         fs, root = open_store(folder)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         name, at, seg, out = f"part-{part:06d}-{uuid.uuid4().hex}.dac", 0, 0, None
-        encode = Encoder(tokenizer_path)
-        ids, parts, size = [], [], 0
+        encode = encoder(tokenizer_path)
+        held: list[tuple] = []  # (document ids, ids of all texts, number of ids of each)
 
         def flush():
-            nonlocal at, seg, out, ids, parts, size
+            nonlocal at, seg, out, held
             if out is None:
                 out = fs.open_output_stream(join_path(root, name), compression=None)
-            n = np.array([len(p) // 4 for p in parts], np.int64)
-            levels = pack(np.frombuffer(b"".join(parts), np.uint32))
-            raw = Segment(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]),
-                          np.concatenate([[0], np.cumsum(n)]), levels).to_bytes()
+            ids, n = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[2] for x in held])
+            starts = np.concatenate([[0], np.cumsum(n + 1)])
+            tokens = np.full(starts[-1], end_id, np.uint32)
+            inside = np.ones(len(tokens), bool)
+            inside[starts[1:] - 1] = False
+            tokens[inside] = np.concatenate([x[1] for x in held])
+            raw = Segment(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), starts, pack(tokens)).to_bytes()
             out.write(raw)
-            row = {"part": part, "seg": seg, "file": name, "offset": at, "length": len(raw), "n_docs": len(ids), "n_tokens": int(n.sum())}
-            at, seg, ids, parts, size = at + len(raw), seg + 1, [], [], 0
+            row = {"part": part, "seg": seg, "file": name, "offset": at, "length": len(raw), "n_docs": len(n), "n_tokens": len(tokens)}
+            at, seg, held = at + len(raw), seg + 1, []
             return pa.RecordBatch.from_pylist([row], schema=SEGMENT)
 
         try:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    piece = batch.slice(lo, 512)
-                    for i, raw in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
-                        ids.append(i)
-                        parts.append(raw + end)
-                        size += len(raw) // 4 + 1
-                        if size >= segment_tokens:
-                            yield flush()
-            if ids:
+                for lo, hi, data, off in slices(batch.column(1)):
+                    held.append((batch.column(0).slice(lo, hi - lo), *encode(data, off)))
+                    if sum(len(x[1]) for x in held) >= segment_tokens:
+                        yield flush()
+            if held:
                 yield flush()
         finally:
             if out is not None:
@@ -296,7 +353,8 @@ def read(segments: DataFrame) -> DataFrame:
                     pa.array(np.array(crc, np.int64)), pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["seg"], np.int32))],
                     names=["doc_id", "local", "n_tokens", "ids_crc32", "part", "seg"])
 
-    docs = segments.repartition("file", "seg").select("part", "seg", "folder", "file", "offset", "length").mapInArrow(get, READ_DDL)
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = segments.repartition(tasks, "file", "seg").select("part", "seg", "folder", "file", "offset", "length").mapInArrow(get, READ_DDL)
     files = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = files.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a file
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seg")) - F.col("n_tokens")
