@@ -19,7 +19,8 @@ any order, and a passage that many documents share makes no keys.
 
 Candidates.  A key held by at most SMALL nodes gives all pairs of fitting
 sizes.  A key held by more is worked in square blocks of BLOCK nodes that
-exchange sketches only and return a spanning forest of the pairs that pass.
+exchange sketches only and return a spanning forest of the pairs that pass;
+before that, each of its nodes is tried with the key's first node.
 Every pair that passes the sketches' Hamming bound is verified on whole sets
 before it counts.  Rounds: verify the best pair of every node, merge, and go
 on with the pairs whose ends are still apart, until none is left; pairs inside
@@ -47,7 +48,7 @@ from ._arrays import NON_BLANK, Hasher, U, mix, signed, slices, words
 from ._tables import cut, text_key
 
 WORDS, PERCENT = 5, 80
-SMALL, BLOCK = 32, 1024
+SMALL, BLOCK = 32, 4096
 HOT_COUNT, HOT_SHINGLES = 16, 1 << 20
 FIRST_BAND, BAND_RATIO, PARTS_PER = 16, 4, 4
 BLOOM_BITS = 25
@@ -328,27 +329,35 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return right.join(left, "a").select("a", "b", "da", "db").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _forest(members: pd.DataFrame, refused: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest, nearest first, of the passing pairs between different components of one key's block pair."""
+def _forest(members: pd.DataFrame, refused: pd.DataFrame, percent: int, each: int) -> list[tuple[int, int]]:
+    """The passing pairs between different components of one key's block pair.
+
+    Of every node the nearest ``each`` in each other component; for 1, a spanning
+    forest of those.  Pairs inside the most common component are never looked at.
+    """
     node, comp, size = members.node.to_numpy(), members.comp.to_numpy(), members["size"].to_numpy().astype(int)
-    left, right = np.flatnonzero(members.side.to_numpy() != 1), np.flatnonzero(members.side.to_numpy() != 0)
+    side = members.side.to_numpy()
     words_ = min(len(x) for x in members.data) // 8
     maps = np.stack([fold(np.frombuffer(x, np.uint64), words_) for x in members.data])
+    names, count = np.unique(comp, return_counts=True)
+    giant = names[count.argmax()]
     no = set(zip(refused.a, refused.b))
     found = []
-    for i in left:
-        y = right[(comp[right] != comp[i]) & fits(size[right], size[i], percent)]
-        if not len(y):
-            continue
+    for i in np.flatnonzero(comp != giant):
+        y = np.flatnonzero((comp != comp[i]) & ((side == 2) | (side != side[i])) & fits(size, size[i], percent))
         d = np.bitwise_count(maps[y] ^ maps[i]).sum(axis=1, dtype=np.int64)
         ok = d <= most_different(size[y], size[i], percent)
         y, d = y[ok], d[ok]
-        best: dict[int, tuple] = {}
-        for j, dist in zip(y, d):  # the nearest of every other component
-            pair = (min(node[i], node[j]), max(node[i], node[j]))
-            if pair not in no and (comp[j] not in best or (dist, pair) < best[comp[j]]):
-                best[comp[j]] = (dist, pair)
-        found += [(dist, pair, comp[i], c) for c, (dist, pair) in best.items()]
+        if no:
+            ok = np.array([(min(node[i], node[j]), max(node[i], node[j])) not in no for j in y], bool)
+            y, d = y[ok], d[ok]
+        order = np.lexsort((node[y], d, comp[y]))
+        y, d = y[order], d[order]
+        place = np.arange(len(y)) - np.searchsorted(comp[y], comp[y], side="left")
+        for j in np.flatnonzero(place < each):
+            found.append((d[j], (min(node[i], node[y[j]]), max(node[i], node[y[j]])), comp[i], comp[y[j]]))
+    if each > 1:
+        return list({x[1] for x in found})
     parent: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -365,7 +374,7 @@ def _forest(members: pd.DataFrame, refused: pd.DataFrame, percent: int) -> list[
     return out
 
 
-def _dense_pairs(dense: DataFrame, comps: DataFrame, refused: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _dense_pairs(dense: DataFrame, comps: DataFrame, refused: DataFrame, sketches: DataFrame, percent: int, each: int) -> DataFrame:
     """(a, b): candidate links between components of the keys with many nodes, from square blocks of sketches."""
     rows = dense.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     live = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
@@ -383,14 +392,13 @@ def _dense_pairs(dense: DataFrame, comps: DataFrame, refused: DataFrame, sketche
     bad = (refused.join(ends.withColumnRenamed("node", "a"), "a")
            .join(ends.select(F.col("key").alias("key_b"), F.col("node").alias("b")), "b").filter("key = key_b")
            .withColumn("pa", F.pmod(F.xxhash64("a"), F.col("blocks"))).withColumn("pb", F.pmod(F.xxhash64("b"), F.col("blocks")))
-           .select("key", F.least("pa", "pb").alias("i"), F.greatest("pa", "pb").alias("j"), "a", "b"))
+           .select(F.col("key").alias("bad_key"), F.least("pa", "pb").alias("bad_i"), F.greatest("pa", "pb").alias("bad_j"), "a", "b"))
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        pairs = _forest(x, y, percent) if len(x) > 1 else []
+        pairs = _forest(x, y, percent, each) if len(x) > 1 else []
         return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
-    on = ["key", "i", "j"]
-    return left.groupBy(*on).cogroup(bad.groupBy(*on)).applyInPandas(run, "a long, b long").distinct()
+    return left.groupBy("key", "i", "j").cogroup(bad.groupBy("bad_key", "bad_i", "bad_j")).applyInPandas(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -434,9 +442,13 @@ def linked_nodes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> Data
     other = few.select("key", F.col("node").alias("b"), F.col("size").alias("sb"))
     pairs = (few.select("key", F.col("node").alias("a"), F.col("size").alias("sa")).join(other, "key")
              .filter((F.col("a") < F.col("b")) & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))).select("a", "b").distinct())
-    open_pairs = cut(_passing(pairs, sketches, percent), "passing-pairs")
     dense = cut(live.filter(F.col("n") > SMALL).select("key", "node", "size"), "dense-keys")
     some_dense = not dense.isEmpty()
+    hubs = dense.groupBy(F.col("key").alias("hub_key")).agg(F.min(F.struct("node", "size")).alias("hub"))
+    stars = (dense.join(hubs, F.col("key") == F.col("hub_key")).filter(F.col("node") != F.col("hub.node"))
+             .filter(100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size"))
+             .select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
+    open_pairs = cut(_passing(pairs.unionByName(stars), sketches, percent), "passing-pairs")
     wanted = (open_pairs.select(F.col("a").alias("node")).unionByName(open_pairs.select(F.col("b").alias("node")))
               .unionByName(dense.select("node")).distinct())
     sets = cut(_whole_sets(docs, wanted, n, False), "whole-sets")
@@ -444,7 +456,7 @@ def linked_nodes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> Data
     links = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "node long, comp long")
     refused = spark.createDataFrame([], "a long, b long")
-    first = True
+    first, each = True, 1
     while True:
         ca, cb = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
         apart = (open_pairs.join(ca, "a", "left").join(cb, "b", "left")
@@ -455,14 +467,17 @@ def linked_nodes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> Data
             todo = ends.groupBy("node").agg(F.min(F.struct("dist", "a", "b")).alias("p")).select("p.a", "p.b")
         else:
             todo = open_pairs.select("a", "b")
-        if some_dense:
-            todo = todo.unionByName(_dense_pairs(dense, comps, refused, sketches, percent))
+        if some_dense and not first:
+            todo = todo.unionByName(_dense_pairs(dense, comps, refused, sketches, percent, each))
+            each *= 16  # a node with many near misses needs few rounds
         tested = cut(verify(cut(todo.distinct(), "to-verify"), sets, percent), "verified")
-        if tested.isEmpty():
+        if tested.isEmpty() and not first:
             return comps
-        links = links.unionByName(tested.filter("linked").select("a", "b"))
         refused = refused.unionByName(tested.filter("not linked").select("a", "b"))
-        comps = cut(components(links), "components")
+        new = tested.filter("linked").select("a", "b")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            comps = cut(components(links), "components")
         first = False
 
 
