@@ -15,7 +15,7 @@ the mix, which plays words.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterwise.llm import decontaminate, jaccard_join, mixing, token_store, toxicity
@@ -40,36 +40,39 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _same() -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key"))
+    return F.col("doc_id").eqNullSafe(F.col("_r_id")) & (F.col("_key") == F.col("_r_key"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), "_text", model)
-    return scored.filter(F.col("score") < TOXIC_AT).select(*docs.columns)
+    scored = toxicity.score(docs.withColumn("_text", F.col("text")), "_text", model, "_tox_")
+    return scored.filter(F.col("_tox_score") < TOXIC_AT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = jaccard_join.join(docs)
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("p")
     kept = rows.filter("component is not null").groupBy("component").agg(first).select("p.id", "p.key")
-    kept = cut(kept.withColumn("alone", F.lit(False)).unionByName(rows.filter("component is null").select("id", "key").distinct().withColumn("alone", F.lit(True))), "kept")
-    stay = _named(docs).join(kept, _same())
-    one = stay.filter("not alone").dropDuplicates(["doc_id", "_key"])
-    return one.unionByName(stay.filter("alone")).select(*docs.columns)
+    alone = rows.filter("component is null").select("id", "key").distinct()
+    kept = kept.withColumn("_alone", F.lit(False)).unionByName(alone.withColumn("_alone", F.lit(True)))
+    kept = cut(kept.select(F.col("id").alias("_r_id"), F.col("key").alias("_r_key"), "_alone"), "kept")
+    # of repeated rows one stays; those without words are all alone
+    turn = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("_key"))
+    stay = _named(docs).join(kept, _same()).withColumn("_turn", F.when(F.col("_alone"), 1).otherwise(turn))
+    return stay.filter("_turn = 1").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = decontaminate.marked(docs, table(spark, sf_dir, "benchmark"))
-    bad = cut(marks.filter(contaminated()).select("id", "key").distinct(), "contaminated")
+    bad = cut(marks.filter(contaminated()).select(F.col("id").alias("_r_id"), F.col("key").alias("_r_key")).distinct(), "contaminated")
     return _named(docs).join(bad, _same(), "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plays = mixing.taken_words(docs).groupBy("id", "key", F.col("source").alias("_source")).agg(F.sum("plays").alias("plays"))
-    plays = cut(plays.filter("plays > 0"), "plays")
+    plays = mixing.taken_words(docs).groupBy(F.col("id").alias("_r_id"), F.col("key").alias("_r_key"), F.col("source").alias("_source")).agg(F.sum("plays").alias("_plays"))
+    plays = cut(plays.filter("_plays > 0"), "plays")
     rows = _named(docs).dropDuplicates(["doc_id", "_key", "source"]).join(plays, _same() & F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_play", F.explode(F.sequence(F.lit(1), F.col("plays").cast("int")))).select(*docs.columns)
+    return rows.withColumn("_play", F.explode(F.sequence(F.lit(1), F.col("_plays").cast("int")))).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

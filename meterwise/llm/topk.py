@@ -62,7 +62,8 @@ def _chunks(batches, rows: int):
             m = flat[(off[at][:, None] + np.arange(d)[None, :])] if d else np.zeros((len(at), 0), np.int64)
             held.setdefault(int(d), []).append((ids[at], m))
             if sum(len(x[0]) for x in held[int(d)]) >= rows:
-                i, v = (np.concatenate([x[k] for x in held.pop(int(d))]) for k in (0, 1))
+                parts = held.pop(int(d))
+                i, v = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
                 full = len(i) // rows * rows
                 for lo in range(0, full, rows):
                     yield int(d), i[lo:lo + rows], v[lo:lo + rows]

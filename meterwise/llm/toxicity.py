@@ -274,8 +274,8 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, rows: list, totals: dict, max
     return model
 
 
-def score(df: DataFrame, text_col: str, model: Model | None) -> DataFrame:
-    """``df`` (without the text) with score, evidence (ids of the nearest examples) and similarity."""
+def score(df: DataFrame, text_col: str, model: Model | None, prefix: str = "") -> DataFrame:
+    """``df`` (without the text) with score, evidence (ids of the nearest examples) and similarity, their names after ``prefix``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     keep = [f for f in df.schema.fields if f.name != text_col]
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
@@ -292,7 +292,7 @@ def score(df: DataFrame, text_col: str, model: Model | None) -> DataFrame:
                     out[lo + i], near[lo + i], sims[lo + i] = m.score(vote), m.ids[at].tolist(), sim.astype(float).tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(1, batch.num_columns)] + [pa.array(out), pa.array(near, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))],
-                names=[f.name for f in keep] + ["score", "evidence", "similarity"])
+                names=[f.name for f in keep] + [prefix + x for x in ("score", "evidence", "similarity")])
 
     return df.select(F.col(text_col), *[F.col(f"`{f.name}`") for f in keep]).mapInArrow(
-        run, ddl + "score double, evidence array<long>, similarity array<double>")
+        run, ddl + f"{prefix}score double, {prefix}evidence array<long>, {prefix}similarity array<double>")
