@@ -107,7 +107,7 @@ def add_median_billing_frequence_per_region(features, invoice, client):
 def add_sdt_dev_consumption_region(features, invoice, client, postfix_consumption: str):
     column = f"consommation{postfix_consumption}"
     if column not in LEVELS:
-        raise KeyError(f"Column '{column}' not found in merge_df")
+        raise KeyError(f"no consumption level {column!r}; known: {LEVELS}")
     name = f"{REGION_STD_PREFIX}{postfix_consumption}"
     per_region = region_consumption_std(client, client_aggregates(invoice)).select("region", name)
     return attach(features, region_to_clients(client, per_region))

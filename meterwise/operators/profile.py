@@ -89,8 +89,10 @@ def class_distribution(df: DataFrame, target: str = "target") -> DataFrame:
     return counts.select("class", "count", (F.col("count") / total).alias("share"))
 
 
-def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFrame:
-    """(value, count[, share]), most frequent first."""
+def value_counts(df: DataFrame, column: str, normalize: bool = False, dropna: bool = True) -> DataFrame:
+    """(value, count[, share]), most frequent first; NULL is no value unless ``dropna`` is off."""
+    if dropna:
+        df = df.filter(F.col(column).isNotNull())
     out = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
     if normalize:
         total = scalar_of(df.agg(F.count(F.lit(1)).alias("__t")), "__t")
@@ -105,16 +107,24 @@ def unique_values(df: DataFrame, column: str) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair (long form, both orders and
-    the diagonal), all from one aggregate."""
+    the diagonal) over the rows where both are set, all from one aggregate.
+    A column without variance has no correlation (NULL), not even with itself."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{k}")
-                   for k, (a, b) in enumerate(pairs)])
+
+    def corr(a: str, b: str):
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    agg = df.agg(*[corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)],
+                 *[F.var_pop(F.col(a).cast("double")).alias(f"v{k}") for k, a in enumerate(columns)])
     structs = []
     for k, (a, b) in enumerate(pairs):
         structs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{k}").alias("corr")))
         structs.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), F.col(f"c{k}").alias("corr")))
-    for a in columns:
-        structs.append(F.struct(F.lit(a).alias("column_a"), F.lit(a).alias("column_b"), F.lit(1.0).alias("corr")))
+    for k, a in enumerate(columns):
+        structs.append(F.struct(F.lit(a).alias("column_a"), F.lit(a).alias("column_b"),
+                                F.when(F.col(f"v{k}") > 0, F.lit(1.0)).alias("corr")))
     return agg.select(F.explode(F.array(*structs)).alias("r")).select("r.column_a", "r.column_b", "r.corr")
 
 

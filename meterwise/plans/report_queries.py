@@ -79,7 +79,7 @@ def q_class_distribution(spark, sf_dir):
     return D.class_distribution(view(spark, sf_dir, "client"))
 
 
-@register("value_counts", norm_sql(cte("client") + "SELECT disrict AS value, count(*) AS \"count\" FROM client GROUP BY disrict",
+@register("value_counts", norm_sql(cte("client") + "SELECT disrict AS value, count(*) AS \"count\" FROM client WHERE disrict IS NOT NULL GROUP BY disrict",
                                    "value:i, count:i"))
 def q_value_counts(spark, sf_dir):
     """Clients per district."""
@@ -98,7 +98,7 @@ def _corr_oracle():
         for b in MEASURES[i + 1:]:
             parts.append(f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({a}, {b}) AS \"corr\" FROM m")
             parts.append(f"SELECT '{b}' AS column_a, '{a}' AS column_b, corr({a}, {b}) AS \"corr\" FROM m")
-        parts.append(f"SELECT '{a}' AS column_a, '{a}' AS column_b, 1.0 AS \"corr\"")
+        parts.append(f"SELECT '{a}' AS column_a, '{a}' AS column_b, CASE WHEN var_pop({a}) > 0 THEN 1.0 END AS \"corr\" FROM m")
     return norm_sql(cte("invoice") + ", " + O_MEASURES + "\n" + _union(parts), "column_a:s, column_b:s, corr:f")
 
 
