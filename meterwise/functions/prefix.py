@@ -4,19 +4,19 @@
 task.  For groups that are whole columns (a feature, a class, a score table)
 that task grows with the data.  :func:`running_sums` instead
 
-1. cuts each group into value blocks on the first order column, with block
-   boundaries from one approximate-quantile aggregate per group (a few
-   numbers per group, computed once and applied as literals, so the block
-   of a row is a pure function of the row and every re-execution agrees),
+1. range-partitions the rows on the whole (group, order) tuple and writes them
+   once, with the partition's number as the block id (a re-executed later
+   stage reads the written ids, so it sees the same blocks; nothing about the
+   blocks passes through the driver or the plan),
 2. computes running sums inside each (group, block),
-3. adds the totals of the earlier blocks of the same group (one row per
-   block).
+3. adds the totals of the earlier blocks of the same group (one row for each
+   block and each group in it).
 
 The result equals ``sum(v).over(partitionBy(g).orderBy(x).rowsBetween(
-unboundedPreceding, currentRow))`` when the order is unique within a group
-(callers pre-aggregate ties to one row).  Group columns must have few
-distinct values (classes, features, folds, bags); the first order column
-must be numeric and ascending (negate it for a descending order).
+unboundedPreceding, currentRow))`` when the order is unique within a group.
+A frequent value of the first order column is split over blocks by the other
+order columns; rows equal in all of them share a block, so callers either
+pre-aggregate ties or end the order with an id.  Group values must not be NULL.
 """
 
 from __future__ import annotations
@@ -24,33 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed accuracy of the block-boundary sketch (relative rank error 1/1000).
-BOUNDARY_ACCURACY = 1000
-
-
-def _block_expr(df: DataFrame, group_cols: list[str], first: str, n_blocks: int):
-    if n_blocks <= 1:
-        return F.lit(0)
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    key = F.col(first).cast("double")
-    sketch = F.percentile_approx(key, probs, BOUNDARY_ACCURACY).alias("b")
-    if not group_cols:
-        row = df.agg(sketch).first()
-        bounds = sorted({x for x in (row["b"] or []) if x is not None}) if row else []
-        if not bounds:
-            return F.lit(0)
-        arr = F.array(*[F.lit(float(x)) for x in bounds])
-    else:
-        gkey = F.concat_ws("\u0001", *[F.col(g).cast("string") for g in group_cols])
-        rows = df.groupBy(gkey.alias("k")).agg(sketch).collect()  # one row per group
-        entries = []
-        for r in rows:
-            bounds = sorted({x for x in (r["b"] or []) if x is not None})
-            entries += [F.lit(r["k"]), F.array(*[F.lit(float(x)) for x in bounds]).cast("array<double>")]
-        if not entries:
-            return F.lit(0)
-        arr = F.coalesce(F.element_at(F.create_map(*entries), gkey), F.array().cast("array<double>"))
-    return F.size(F.filter(arr, lambda b: b <= key))
+from ..session import cut_lineage
 
 
 def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], value_cols: list[str],
@@ -58,7 +32,8 @@ def running_sums(df: DataFrame, group_cols: list[str], order_cols: list[str], va
     """Add ``{prefix}{v}`` = inclusive running sum of ``v`` per group, in
     ascending ``order_cols`` order."""
     n = num_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = df.withColumn("__blk", _block_expr(df, list(group_cols), order_cols[0], n))
+    ranged = df.repartitionByRange(n, *group_cols, *order_cols)
+    tagged = cut_lineage(ranged.withColumn("__blk", F.spark_partition_id()), "running-blocks")
     w_local = (Window.partitionBy(*group_cols, "__blk").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = tagged.select("*", *[F.sum(v).over(w_local).alias(f"__loc_{v}") for v in value_cols])
@@ -86,26 +61,20 @@ def exact_quantiles(long_df: DataFrame, group_col: str, value_col: str, probs: l
     'linear'), for a long (group, value) frame, computed distributed.
 
     Returns (group, p, q).  Values are first reduced to distinct (group,
-    value, n); positions come from :func:`running_sums`; the requested ranks
-    (a tiny table: groups × probs) are matched by a range join.
+    value, n), written once; positions come from :func:`running_sums`; the
+    requested ranks (a tiny table: groups × probs) are matched by one range join.
     """
-    vals = (long_df.filter(F.col(value_col).isNotNull())
-            .groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("n")))
+    vals = cut_lineage(long_df.filter(F.col(value_col).isNotNull())
+                       .groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("n")), "quantile-values")
     ranked = rank_before(vals, [group_col], value_col)  # rows n_before+1 .. n_before+n (1-based)
     totals = vals.groupBy(group_col).agg(F.sum("n").alias("total"))
     want = (totals.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
             .withColumn("h", (F.col("total") - 1) * F.col("p") + 1)
             .withColumn("lo", F.floor("h").cast("long")).withColumn("hi", F.ceil("h").cast("long")))
-    lo = ranked.alias("r").join(want.alias("w"), (F.col(f"r.{group_col}") == F.col(f"w.{group_col}"))
-                                & (F.col("w.lo") > F.col("r.n_before"))
-                                & (F.col("w.lo") <= F.col("r.n_before") + F.col("r.n")))
-    lo = lo.select(F.col(f"w.{group_col}").alias(group_col), "w.p", "w.h", "w.lo",
-                   F.col(f"r.{value_col}").alias("v_lo"))
-    hi = ranked.alias("r").join(want.alias("w"), (F.col(f"r.{group_col}") == F.col(f"w.{group_col}"))
-                                & (F.col("w.hi") > F.col("r.n_before"))
-                                & (F.col("w.hi") <= F.col("r.n_before") + F.col("r.n")))
-    hi = hi.select(F.col(f"w.{group_col}").alias(group_col), "w.p", F.col(f"r.{value_col}").alias("v_hi"))
-    q = lo.join(hi, [group_col, "p"]).select(
-        group_col, "p",
-        (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("h") - F.col("lo"))).alias("q"))
-    return q
+    start, end = F.col("n_before") + 1, F.col("n_before") + F.col("n")
+    # hi is lo or lo + 1: the rows met hold one of the two ranks
+    met = ranked.join(want, group_col).filter((F.col("lo") <= end) & (F.col("hi") >= start))
+    ends = met.groupBy(group_col, "p", "h", "lo").agg(
+        F.max(F.when(F.col("lo") >= start, F.col(value_col))).alias("v_lo"),
+        F.max(F.when(F.col("hi") <= end, F.col(value_col))).alias("v_hi"))
+    return ends.select(group_col, "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("h") - F.col("lo"))).alias("q"))

@@ -135,8 +135,8 @@ def compare_submissions(a: DataFrame, b: DataFrame, order_a: str, order_b: str,
     positions that differ, NULL targets on each side (NULL when a side has
     no target column).  Positions are explicit (``order_*`` columns) and
     computed distributed."""
-    pa = row_positions(a.select(key, *([target] if target in a.columns else []), order_a), order_a, "pos")
-    pb = row_positions(b.select(key, *([target] if target in b.columns else []), order_b), order_b, "pos")
+    pa = row_positions(a.select(*dict.fromkeys([key, order_a])), order_a, "pos")
+    pb = row_positions(b.select(*dict.fromkeys([key, order_b])), order_b, "pos")
     joined = pa.select("pos", F.col(key).alias("id_a")).join(pb.select("pos", F.col(key).alias("id_b")), "pos", "full")
     diff = joined.agg(
         F.count("id_a").alias("rows_a"), F.count("id_b").alias("rows_b"),
@@ -153,8 +153,8 @@ def compare_submissions(a: DataFrame, b: DataFrame, order_a: str, order_b: str,
 def first_mismatches(a: DataFrame, b: DataFrame, order_a: str, order_b: str, key: str = "client_id",
                      n: int = 5) -> DataFrame:
     """The first ``n`` positions whose ids differ (a top-n report)."""
-    pa = row_positions(a.select(key, order_a), order_a, "pos").select("pos", F.col(key).alias(key))
-    pb = row_positions(b.select(key, order_b), order_b, "pos").select("pos", F.col(key).alias(f"{key}_file2"))
+    pa = row_positions(a.select(*dict.fromkeys([key, order_a])), order_a, "pos").select("pos", F.col(key).alias(key))
+    pb = row_positions(b.select(*dict.fromkeys([key, order_b])), order_b, "pos").select("pos", F.col(key).alias(f"{key}_file2"))
     j = pa.join(pb, "pos", "full")
     return (j.filter(~F.coalesce(F.col(key).eqNullSafe(F.col(f"{key}_file2")), F.lit(False)))
             .orderBy("pos").limit(n))

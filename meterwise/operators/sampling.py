@@ -159,9 +159,8 @@ def balanced_bags(df: DataFrame, label: str = "target", id_col: str = "client_id
     share = min(1.0, 1.2 * n_min / max(n_maj, 1) + 64.0 / max(n_maj, 1))
     while True:
         kept = majority.filter(h15 < F.lit(share)) if share < 1.0 else majority
-        short = (kept.groupBy("bag").count().filter(F.col("count") < n_min).limit(1).count() > 0
-                 if share < 1.0 else False)
-        if not short:
+        # a bag without any kept row is short too, so the full bags are counted
+        if share >= 1.0 or kept.groupBy("bag").count().filter(F.col("count") >= n_min).count() == n_bags:
             break
         share = min(1.0, share * 2)
     ranked = hash_rank(kept, ["bag"], id_col, seed, key=key)

@@ -25,6 +25,19 @@ def test_running_sums_equal_window(spark):
     assert got == exp
 
 
+def test_running_sums_plan_holds_no_blocks(spark):
+    df = spark.range(2280).select((F.col("id") % 114).alias("g"), F.col("id").alias("x"), F.lit(1).alias("v"))
+    sizes = [len(running_sums(df, ["g"], ["x"], ["v"], num_blocks=n)._jdf.queryExecution().optimizedPlan().toString())
+             for n in (4, 120)]
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
+def test_running_sums_split_a_frequent_value(spark):
+    df = spark.range(1000).select(F.lit(7.0).alias("x"), "id", F.lit(1).alias("v")).repartition(5)
+    out = running_sums(df, [], ["x", "id"], ["v"], num_blocks=6).collect()
+    assert {r.id: r.cum_v for r in out} == {i: i + 1 for i in range(1000)}
+
+
 def test_exact_quantiles_match_numpy(spark):
     rnd = random.Random(2)
     vals = [rnd.choice([1.0, 2.0, 2.0, 3.5, 7.0, 10.0]) * rnd.random() for _ in range(301)]
