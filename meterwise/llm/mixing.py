@@ -125,10 +125,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     total = int(targets.agg(F.sum("source_size")).first()[0] or 0)
     block = max(1, min(BLOCK_WORDS, total // SLOTS))
     plan = cut(schedule(targets, -(-total // block)), "mix-schedule")
-    taken = plan.groupBy("src").agg((F.count(F.lit(1)) * block).alias("words"))
     start = F.col("pos") + F.col("epoch") * F.col("source_size")
-    runs = (laid.filter("size > 0").join(taken, "src").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_repeat - 1).cast("long"))))
-            .withColumn("lo", start).filter(F.col("lo") < F.col("words")).withColumn("hi", F.col("lo") + F.col("size"))
+    # blocks beyond a source's last slot find no slot in the join below
+    runs = (laid.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_repeat - 1).cast("long"))))
+            .withColumn("lo", start).withColumn("hi", F.col("lo") + F.col("size"))
             .withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
             .select("src", "pos", "epoch", "block", (F.least("hi", (F.col("block") + 1) * block) - F.greatest("lo", F.col("block") * block)).alias("words")))
     return laid, runs.join(plan, ["src", "block"]).select("src", "pos", "epoch", "slot", "words"), plan

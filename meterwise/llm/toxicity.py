@@ -36,6 +36,7 @@ PREFIXES = (4, 5, 6)
 MAX_TOXIC, MAX_CLEAN, MAX_EXAMPLES = 6000, 12000, 1024
 CANDIDATES, VOCABULARY, MIN_TOXIC, CHI2 = 1 << 16, 1024, 4, 30.0
 BLOCK, NEIGHBOURS = 64, 9
+RANGE_BITS = 10
 _SALT = {n: U(0x1000193 * (n + 1)) for n in (0, *PREFIXES)}
 
 
@@ -144,11 +145,16 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 def _labelled(labels: DataFrame, id_col: str, label_col: str, max_toxic: int, max_clean: int) -> tuple[DataFrame, dict]:
     rows = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
             .groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("y")))
-    totals = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    w = Window.partitionBy("y").orderBy("h", "id")
     most = F.when(F.col("y") == 1, max_toxic).otherwise(max_clean)
-    sample = (rows.withColumn("h", F.xxhash64("id")).withColumn("at", F.row_number().over(w))
-              .filter((F.col("at") <= max(max_toxic, max_clean)) & (F.col("at") <= most)).select("id", "y"))
+    # ranks inside digest ranges plus the counts of the ranges before: no label is one task
+    rows = rows.withColumn("h", F.xxhash64("id")).withColumn("rng", F.shiftright("h", 64 - RANGE_BITS))
+    sums = rows.groupBy("y", "rng").agg(F.count(F.lit(1)).alias("n"))  # at most 2 * 2**RANGE_BITS rows
+    totals = {r.y: r.n for r in sums.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    before = F.sum("n").over(Window.partitionBy("y").orderBy("rng")) - F.col("n")
+    used = sums.withColumn("before", before).filter(F.col("before") < most).select("y", "rng", "before")
+    w = Window.partitionBy("y", "rng").orderBy("h", "id")
+    sample = (rows.join(used, ["y", "rng"]).withColumn("at", F.col("before") + F.row_number().over(w))
+              .filter(F.col("at") <= most).select("id", "y"))
     return sample, totals
 
 
