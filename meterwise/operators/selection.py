@@ -50,8 +50,10 @@ def mi_binned(df: DataFrame, target: str = "target", features: list[str] | None
     totals = per_x.groupBy("feature").agg(F.sum("n").alias("total"))
     binned = (ranked.join(totals, "feature")
               .select("feature", "x", F.expr(f"(n_before * {int(bins)}) div total").alias("bin"), "total"))
-    table = (cells.join(binned, ["feature", "x"])
-             .groupBy("feature", "bin", "y").agg(F.sum("n").alias("n"), F.first("total").alias("total")))
+    # at most features x bins x labels rows, read three times below
+    table = cut_lineage(cells.join(binned, ["feature", "x"])
+                        .groupBy("feature", "bin", "y").agg(F.sum("n").alias("n"), F.first("total").alias("total")),
+                        "mi-table")
     pb = table.groupBy("feature", "bin").agg(F.sum("n").alias("nb"))
     py = table.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
     t = table.join(pb, ["feature", "bin"]).join(py, ["feature", "y"])
@@ -127,9 +129,11 @@ def knn_point_stats(df: DataFrame, target: str = "target", features: list[str] |
       values and read off a running count.
     """
     feats = features or feature_columns(df, target, exclude=(id_col,))
-    pts = knn_points(df, feats, target, id_col, seed)
-    sizes = pts.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n_y"))
-    pts = (pts.join(sizes, ["feature", "y"]).filter(F.col("n_y") > 1)
+    # the features are planned once; all passes below read this table
+    wide = cut_lineage(df.select(id_col, target, *[F.col(f"`{f}`") for f in feats]), "knn-features")
+    pts = knn_points(wide, feats, target, id_col, seed)
+    sizes = wide.groupBy(F.col(target).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n_y"))  # one row a label
+    pts = (pts.join(F.broadcast(sizes), "y").filter(F.col("n_y") > 1)
            .withColumn("k_i", F.least(F.lit(k), F.col("n_y") - 1)))
     pts = cut_lineage(pts.withColumn("one", F.lit(1).cast("long")), "knn-points")
 
@@ -179,7 +183,7 @@ def knn_point_stats(df: DataFrame, target: str = "target", features: list[str] |
                   (F.max(F.when(F.col("side") == "u", F.col("c_w"))) -
                    F.max(F.when(F.col("side") == "l", F.col("c_w")))).alias("m")))
 
-    return radius.drop("nx").join(counts, ["feature", "id"]).join(sizes, ["feature", "y"])
+    return radius.drop("nx").join(counts, ["feature", "id"]).join(F.broadcast(sizes), "y")
 
 
 def mi_knn(df: DataFrame, target: str = "target", features: list[str] | None = None,

@@ -44,19 +44,26 @@ def _clean(client: DataFrame, invoice: DataFrame):
     return client, invoice
 
 
-def build_features(client: DataFrame, invoice: DataFrame, with_target: bool | None = None) -> DataFrame:
+def invoice_tables(invoice: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(client summary, gap histogram) of the invoices.
+
+    Each is bounded by clients x distinct values and written once to the
+    shared checkpoint folder: later stages restart from the files after a
+    failure, and several feature tables of the same invoices can share them.
+    """
+    invoice = invoice.filter(F.col("client_id").isNotNull())
+    return cut_lineage(client_aggregates(invoice), "client-summary"), cut_lineage(gap_histogram(invoice), "gap-histogram")
+
+
+def build_features(client: DataFrame, invoice: DataFrame, with_target: bool | None = None,
+                   tables: tuple | None = None) -> DataFrame:
     """B1 / B2: one feature row per client row (52 columns with target,
-    48 without)."""
+    48 without); ``tables`` as made by :func:`invoice_tables`."""
     client, invoice = _clean(client, invoice)
     if with_target is None:
         with_target = "target" in client.columns
-
-    # The per-client summary feeds four consumers (features, region std,
-    # region rate, status mode).  It is bounded by the number of clients, so
-    # it is written once to the shared checkpoint folder: the invoice
-    # aggregate runs once and later stages restart from it after a failure.
-    agg = with_status_mean(cut_lineage(client_aggregates(invoice), "client-summary"))
-    gaps = gap_histogram(invoice)
+    summary, gaps = tables or invoice_tables(invoice)
+    agg = with_status_mean(summary)
 
     per_client = (agg.select(
         "client_id", "n_invoices", "last_invoice_date", "f_counter_statue_error_occured",
@@ -87,18 +94,19 @@ def build_features(client: DataFrame, invoice: DataFrame, with_target: bool | No
     return out.select(*TEST_COLUMNS)
 
 
-def features_train(client: DataFrame, invoice: DataFrame) -> DataFrame:
-    return build_features(client, invoice, with_target=True)
+def features_train(client: DataFrame, invoice: DataFrame, tables: tuple | None = None) -> DataFrame:
+    return build_features(client, invoice, with_target=True, tables=tables)
 
 
-def features_test(client: DataFrame, invoice: DataFrame) -> DataFrame:
-    return build_features(client.drop("target"), invoice, with_target=False)
+def features_test(client: DataFrame, invoice: DataFrame, tables: tuple | None = None) -> DataFrame:
+    return build_features(client.drop("target"), invoice, with_target=False, tables=tables)
 
 
 def transfer_rates(test_features: DataFrame, train_features: DataFrame) -> DataFrame:
     """Attach the three target rates learned on the training table to
     the test table (distinct (key, rate) pairs, left join per key)."""
     from ..operators.joins import merge_on
+    train_features = cut_lineage(train_features.select("region", "disrict", "client_catg", *TARGET_FEATURES), "rates")
     out = merge_on(test_features, train_features, "region", "f_t_region_fraud_rate")
     out = merge_on(out, train_features, "disrict", "f_t_district_target_mean")
     return merge_on(out, train_features, "client_catg", "f_t_client_catg_target_mean")

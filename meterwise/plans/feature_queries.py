@@ -337,8 +337,9 @@ LEFT JOIN (SELECT DISTINCT client_catg, f_t_client_catg_target_mean FROM tr) k O
 def q_features_test_enriched(spark, sf_dir):
     """Test features with the three rates transferred from training."""
     client, invoice = _ci(spark, sf_dir)
-    train = assemble.features_train(client, invoice)
-    test = assemble.features_test(client, invoice)
+    tables = assemble.invoice_tables(invoice)
+    train = assemble.features_train(client, invoice, tables)
+    test = assemble.features_test(client, invoice, tables)
     return assemble.transfer_rates(test, train)
 
 

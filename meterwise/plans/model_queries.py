@@ -45,7 +45,7 @@ def model_table(spark, sf_dir, combinations: bool = True):
     ft = assemble.features_train(client, invoice)
     if combinations:
         ft = add_combinations(ft)
-    data = null_to_zero_features(ft)
+    data = cut_lineage(null_to_zero_features(ft), "model-features")  # the folds read it more than once
     data = R.stratified_folds(data, k=5, seed=SEED)
     return cut_lineage(data)
 
@@ -173,8 +173,9 @@ def q_score_test(spark, sf_dir):
     client, invoice = views(spark, sf_dir, "client", "invoice")
     train = model_table(spark, sf_dir, combinations=False)
     cols = feature_list(train)
-    test = null_to_zero_features(assemble.transfer_rates(assemble.features_test(client, invoice),
-                                                         assemble.features_train(client, invoice)))
+    tables = assemble.invoice_tables(invoice)
+    test = null_to_zero_features(assemble.transfer_rates(assemble.features_test(client, invoice, tables),
+                                                         assemble.features_train(client, invoice, tables)))
     model = L.gbt(weight_col="weight", **GBT_QUERY_PARAMS).fit(L.assemble(R.with_class_weight(train), cols))
     scored = L.positive_probability(model.transform(L.assemble(test.select("client_id", *cols), cols)))
     return scored.select("client_id", F.col("score").alias("target"))

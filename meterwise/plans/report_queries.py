@@ -11,6 +11,7 @@ from ..operators import sampling as R
 from ..operators.client_features import invoice_measures
 from ..operators.projections import add_combinations, apply_threshold
 from ..operators.selection import filter_by_mi, mi_binned, mi_knn
+from ..sources import io
 from ..sources.fixtures import cte, view, views
 from . import assemble
 from .feature_queries import O_MEASURES, feature_oracle
@@ -123,6 +124,17 @@ def q_compare_submissions(spark, sf_dir):
     return D.compare_submissions(scored, client.withColumn("rev", -F.col("client_id")), "client_id", "rev")
 
 
+@register("first_mismatches", norm_sql(cte("client", "scored") + """
+SELECT a.pos AS pos, a.client_id AS client_id, b.client_id AS client_id_file2
+FROM (SELECT client_id, row_number() OVER (ORDER BY client_id) AS pos FROM scored) a
+FULL JOIN (SELECT client_id, row_number() OVER (ORDER BY -client_id) AS pos FROM client) b ON a.pos = b.pos
+WHERE a.client_id IS DISTINCT FROM b.client_id ORDER BY 1 LIMIT 5""", "pos:i, client_id:i, client_id_file2:i"))
+def q_first_mismatches(spark, sf_dir):
+    """The first five positions whose ids differ (a top-n report)."""
+    scored, client = views(spark, sf_dir, "scored", "client")
+    return D.first_mismatches(scored, client.withColumn("rev", -F.col("client_id")), "client_id", "rev")
+
+
 # --------------------------------------------------------------------------- #
 # mutual information on the training features (+ the 7 combinations)
 # --------------------------------------------------------------------------- #
@@ -203,6 +215,17 @@ def q_filter_mi(spark, sf_dir):
     return filter_by_mi(mi_binned(_features_with_combinations(spark, sf_dir), bins=MI_BINS), *MI_RANGE)
 
 
+@register("mi_handoff", norm_sql(f"""WITH s AS ({_mi_scores_sql()}),
+r AS (SELECT "Feature" AS feature, round("MI_Score", 12) AS mi,
+  row_number() OVER (ORDER BY round("MI_Score", 12) DESC, "Feature") - 1 AS rank FROM s)
+SELECT feature, mi, rank FROM r WHERE mi BETWEEN {MI_RANGE[0]} AND {MI_RANGE[1]}""", "feature:s, mi:f, rank:i"))
+def q_mi_handoff(spark, sf_dir):
+    """The ranking written as a file, read back, ranked as in
+    the file (by score, then name) and cut to the reference's range."""
+    path = io.write_mi_ranking(_rounded_scores(spark, sf_dir), io.scratch_dir(spark, "mi_ranking"))
+    return filter_by_mi(D.mi_ranking(io.read_mi_ranking(spark, path)), *MI_RANGE)
+
+
 # --------------------------------------------------------------------------- #
 # metrics on the scored view
 # --------------------------------------------------------------------------- #
