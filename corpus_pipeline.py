@@ -45,7 +45,7 @@ def _same() -> Column:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), "_text", model, "_tox_")
+    scored = toxicity.score(docs, "text", model, "_tox_", keep_text=True)
     return scored.filter(F.col("_tox_score") < TOXIC_AT).select(*docs.columns)
 
 

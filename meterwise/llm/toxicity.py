@@ -280,25 +280,36 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, rows: list, totals: dict, max
     return model
 
 
-def score(df: DataFrame, text_col: str, model: Model | None, prefix: str = "") -> DataFrame:
-    """``df`` (without the text) with score, evidence (ids of the nearest examples) and similarity, their names after ``prefix``."""
+def score(df: DataFrame, text_col: str, model: Model | None, prefix: str = "", keep_text: bool = False) -> DataFrame:
+    """``df`` with score, evidence (ids of the nearest examples) and similarity, their names after ``prefix``.
+
+    The text goes to Python once and comes back, as first column, only with
+    ``keep_text``; rows come back in pieces of SLICE_BYTES of text.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    keep = [f for f in df.schema.fields if f.name != text_col]
+    by_name = {f.name: f for f in df.schema.fields}
+    others = [f for f in df.schema.fields if f.name != text_col]
+    keep = ([by_name[text_col]] if keep_text else []) + others
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
+    first = 0 if keep_text else 1
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            out, near, sims = np.zeros(batch.num_rows), [None] * batch.num_rows, [None] * batch.num_rows
-            for lo, hi, data, off in slices(batch.column(0)) if m is not None else ():
-                row, slot, n = _counted(*m.vocabulary.slots(*terms(data, off)), len(m.vocabulary.hashes))
-                edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    vote, at, sim = m.vote(slot[edge[i]:edge[i + 1]], n[edge[i]:edge[i + 1]])
-                    out[lo + i], near[lo + i], sims[lo + i] = m.score(vote), m.ids[at].tolist(), sim.astype(float).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(1, batch.num_columns)] + [pa.array(out), pa.array(near, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))],
-                names=[f.name for f in keep] + [prefix + x for x in ("score", "evidence", "similarity")])
-
-    return df.select(F.col(text_col), *[F.col(f"`{f.name}`") for f in keep]).mapInArrow(
+            for lo, hi, data, off in slices(batch.column(0)):
+                size = hi - lo
+                out, near, sims = np.zeros(size), [None] * size, [None] * size
+                if m is not None:
+                    row, slot, n = _counted(*m.vocabulary.slots(*terms(data, off)), len(m.vocabulary.hashes))
+                    edge = np.searchsorted(row, np.arange(size + 1))
+                    for i in range(size):
+                        vote, at, sim = m.vote(slot[edge[i]:edge[i + 1]], n[edge[i]:edge[i + 1]])
+                        out[i], near[i], sims[i] = m.score(vote), m.ids[at].tolist(), sim.astype(float).tolist()
+                rows = batch.slice(lo, size)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(i) for i in range(first, batch.num_columns)]
+                    + [pa.array(out), pa.array(near, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))],
+                    names=[f.name for f in keep] + [prefix + x for x in ("score", "evidence", "similarity")])
+
+    return df.select(F.col(f"`{text_col}`"), *[F.col(f"`{f.name}`") for f in others]).mapInArrow(
         run, ddl + f"{prefix}score double, {prefix}evidence array<long>, {prefix}similarity array<double>")
