@@ -1,11 +1,14 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are words (lower-cased; letters, digits and non-ASCII) and their byte
-prefixes of PREFIXES lengths, as 64-bit hashes.  The vocabulary holds the
-terms that the labels single out (chi-square over the labelled sample); the
-document frequencies behind the TF-IDF weights are counted over all
-documents.  The examples are blocks of an inverted index; every term keeps its
-largest weight per block.  A query first bounds each block by the sum of those
+prefixes of PREFIXES lengths, as 64-bit hashes.  The vocabulary holds every
+term of a sampled toxic text that no sampled clean text has, or whose
+chi-square with the label is what chance gives (1) or more: there is no least
+number of texts and no largest number of terms.  A term weighs its TF-IDF, with
+document frequencies over all documents, times chi / (chi + HALF), so rare
+words count little beside proven ones and decide where there are no others.
+The examples are blocks of an inverted index of postings; every term keeps its
+largest weight in each block that holds it.  A query first bounds each block by the sum of those
 maxima, scores the two best blocks, and then every block whose bound reaches
 the k-th best score, so the k nearest examples are exact.  The neighbours vote
 with their squared similarity; an isotonic map, fitted on labelled rows that
@@ -14,6 +17,7 @@ probabilities.
 
 The labelled sample is bounded: ``max_toxic`` and ``max_clean`` rows (smallest
 digests of the id), of which ``max_examples`` of each label are examples.
+Words that occur in no sampled toxic text are not known to the model.
 
 Defined cases: a null or empty text, or one without vocabulary terms, has no
 neighbours and gets the calibrated share of label 1 among such texts; without
@@ -31,10 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrays import ALNUM, Hasher, U, mix, signed, slices, words
+from ._tables import cut
 
 PREFIXES = (4, 5, 6)
 MAX_TOXIC, MAX_CLEAN, MAX_EXAMPLES = 6000, 12000, 1024
-CANDIDATES, VOCABULARY, MIN_TOXIC, CHI2 = 1 << 16, 1024, 4, 30.0
+CHANCE, HALF = 1.0, 30.0
 BLOCK, NEIGHBOURS = 64, 9
 RANGE_BITS = 10
 _SALT = {n: U(0x1000193 * (n + 1)) for n in (0, *PREFIXES)}
@@ -75,39 +80,65 @@ def _counted(slot: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray,
     return pair // width, pair % width, n
 
 
+def _spread(edges: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members edges[i]:edges[i + 1] of every i in ``at``, and their number for each."""
+    lo = edges[at]
+    size = edges[at + 1] - lo
+    total = np.cumsum(size)
+    return np.repeat(lo - (total - size), size) + np.arange(total[-1] if len(total) else 0), size
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
     idf: np.ndarray
-    weights: np.ndarray      # (terms, blocks, BLOCK): normalised TF-IDF of the examples
-    block_max: np.ndarray    # (terms, blocks)
+    runs: np.ndarray         # term t has the runs runs[t]:runs[t + 1], one for each block that holds it
+    run_block: np.ndarray    # block of a run, and its largest weight
+    run_max: np.ndarray
+    run_at: np.ndarray       # a run has the postings run_at[r]:run_at[r + 1]
+    example: np.ndarray      # of a posting, and its normalised TF-IDF weight
+    weight: np.ndarray
     labels: np.ndarray       # of the examples, padded to whole blocks
     ids: np.ndarray
     steps: np.ndarray        # isotonic map: vote -> probability
     values: np.ndarray
     alone: float             # score of a text without neighbours
 
+    @property
+    def weights(self) -> np.ndarray:
+        """(terms, blocks, BLOCK): the postings as a dense array, to inspect small models."""
+        out = np.zeros((len(self.idf), len(self.labels)), np.float32)
+        out[np.repeat(np.arange(len(self.idf)), np.diff(self.run_at[self.runs])), self.example] = self.weight
+        return out.reshape(len(self.idf), -1, BLOCK)
+
     def vector(self, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = (1 + np.log(n)) * self.idf[slot]
         return w / np.sqrt((w * w).sum())
 
+    def _scored(self, run: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Sums of weight products over the postings of the runs, for every example."""
+        at, size = _spread(self.run_at, run)
+        return np.bincount(self.example[at], weights=np.repeat(q, size) * self.weight[at], minlength=len(self.labels))
+
     def nearest(self, slot: np.ndarray, n: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The exact k nearest examples (position, cosine) with a positive cosine."""
-        q = self.vector(slot, n).astype(np.float32)
-        bound = q @ self.block_max[slot]
+        q = self.vector(slot, n)
+        run, size = _spread(self.runs, slot)
+        q, block = np.repeat(q, size), self.run_block[run]
+        bound = np.bincount(block, weights=q * self.run_max[run], minlength=len(self.labels) // BLOCK)
         best = np.argsort(-bound, kind="stable")
-        first = best[:2]
-        score = np.full((self.block_max.shape[1], BLOCK), -1.0, np.float32)
-        score[first] = np.tensordot(q, self.weights[slot][:, first], 1)
+        chosen = np.zeros(len(bound), bool)
+        chosen[best[:2]] = True
+        now = chosen[block]
+        flat = self._scored(run[now], q[now])
+        seen = np.repeat(chosen, BLOCK)
         if without >= 0:
-            score.ravel()[without] = -1
-        flat = score[first].ravel()
-        theta = np.partition(flat, -NEIGHBOURS - 1)[-NEIGHBOURS - 1] if len(flat) > NEIGHBOURS else 0.0
-        rest = best[2:]
-        rest = rest[(bound[rest] >= theta - 1e-5) & (bound[rest] > 0)]
-        if len(rest):
-            score[rest] = np.tensordot(q, self.weights[slot][:, rest], 1)
-        flat = score.ravel()
+            seen[without] = False
+        seen = flat[seen]
+        theta = np.partition(seen, -NEIGHBOURS - 1)[-NEIGHBOURS - 1] if len(seen) > NEIGHBOURS else 0.0
+        now = ((bound >= theta - 1e-5) & ~chosen)[block]
+        if now.any():
+            flat += self._scored(run[now], q[now])
         if without >= 0:
             flat[without] = -1
         flat[len(self.ids):] = -1
@@ -165,46 +196,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample, totals = _labelled(labels, id_col, label_col, max_toxic, max_clean)
     sample = spark.createDataFrame(sample.collect(), "id long, y int")  # at most max_toxic + max_clean ids
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    toxic = text.join(F.broadcast(sample.filter("y = 1")), "id").select("text")
+    labelled = cut(text.join(F.broadcast(sample), "id"), "labelled-texts")
 
-    def toxic_terms(batches):
+    def label_counts(batches):
         for batch in batches:
-            for _, _, data, off in slices(batch.column(0)):
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in slices(batch.column(0)):
                 term, row = terms(data, off)
-                pair = np.unique(np.stack([term, row.astype(np.uint64)]), axis=1)[0] if len(term) else term
-                t, n = np.unique(pair, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(t)), pa.array(n.astype(np.int64))], names=["term", "n"])
-
-    found = (toxic.mapInArrow(toxic_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect())
+                order = np.lexsort((row, term))
+                term, row = term[order], row[order]
+                new = np.r_[True, (term[1:] != term[:-1]) | (row[1:] != row[:-1])] if len(term) else np.zeros(0, bool)
+                t, at = np.unique(term[new], return_inverse=True)
+                toxic = y[lo + row[new]] == 1
+                n = [np.bincount(at[toxic == k], minlength=len(t)).astype(np.int64) for k in (True, False)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(t)), *map(pa.array, n)], names=["term", "tox", "clean"])
+
+    size = labelled.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("tox"), F.count(F.lit(1)).alias("n")).first()
+    found = _singled(labelled.select("text", "y").mapInArrow(label_counts, "term long, tox long, clean long")
+                     .groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean")), size["tox"], size["n"] - size["tox"])
+    found = found.collect()  # at most the terms of max_toxic texts
     if not found:
         return None
-    wide = spark.sparkContext.broadcast(Vocabulary(np.array([r.term for r in found], np.int64).view(np.uint64)))
+    vocabulary = Vocabulary(np.array([r.term for r in found], np.int64).view(np.uint64))
+    small = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches):
-        v = wide.value
-        width = len(v.hashes)
-        total = np.zeros((3, width), np.int64)
-        docs_seen = np.zeros(3, np.int64)
+        v = small.value
+        total = np.zeros(len(v.hashes), np.int64)
+        rows = 0
         for batch in batches:
-            y = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
-            docs_seen += [len(y), (y == 1).sum(), (y == 0).sum()]
-            for lo, _, data, off in slices(batch.column(0)):
-                row, slot, _ = _counted(*v.slots(*terms(data, off)), width)
-                total[0] += np.bincount(slot, minlength=width)
-                for k in (1, 0):
-                    total[2 - k] += np.bincount(slot[y[lo + row] == k], minlength=width)
-        at = np.flatnonzero(total[0])
-        slot = np.concatenate([[-1], at]).astype(np.int32)
-        cols = [np.concatenate([[docs_seen[k]], total[k, at]]) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([pa.array(slot), *[pa.array(c) for c in cols]], names=["slot", "n", "tox", "clean"])
-
-    counts = (text.join(F.broadcast(sample), "id", "left").select("text", "y").mapInArrow(frequencies, "slot int, n long, tox long, clean long")
-              .groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "tox", "clean")]).collect())
-    vocabulary, idf = _select(wide.value, counts)
-    if not len(idf):
-        return None
-    small = spark.sparkContext.broadcast(vocabulary)
+            rows += batch.num_rows
+            for _, _, data, off in slices(batch.column(0)):
+                total += np.bincount(_counted(*v.slots(*terms(data, off)), len(v.hashes))[1], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows, total[at]])], names=["slot", "n"])
+
+    counts = text.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    n = np.ones(len(vocabulary.hashes) + 1)
+    for r in counts:
+        n[r.slot] = r.n  # the number of documents comes last
+    chi = np.zeros(len(vocabulary.hashes))
+    chi[np.searchsorted(vocabulary.hashes, np.array([r.term for r in found], np.int64).view(np.uint64))] = [r.chi for r in found]
+    idf = (np.log((n[-1] + 1) / n[:-1]) + 1e-3) * chi / (chi + HALF)
 
     def vectors(batches):
         v = small.value
@@ -218,25 +251,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                      "n": n[edge[i]:edge[i + 1]].astype(np.int32).tobytes()} for i in range(hi - lo)],
                     schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("slot", pa.binary()), ("n", pa.binary())]))
 
-    rows = (text.join(F.broadcast(sample), "id").select("text", "id", "y")
-            .mapInArrow(vectors, "id long, y int, slot binary, n binary").collect())
+    rows = labelled.select("text", "id", "y").mapInArrow(vectors, "id long, y int, slot binary, n binary").collect()
     rows = sorted({r.id: r for r in rows}.values(), key=lambda r: r.id)
     rows = [(r.id, r.y, np.frombuffer(r.slot, np.int32), np.frombuffer(r.n, np.int32)) for r in rows]
     return build(vocabulary, idf, rows, totals, max_examples)
 
 
-def _select(wide: Vocabulary, counts) -> tuple[Vocabulary, np.ndarray]:
-    """The terms that the labels single out, and their inverse document frequency over all documents."""
-    whole = next(r for r in counts if r.slot == -1)
-    c = sorted((r for r in counts if r.slot >= 0), key=lambda r: r.slot)
-    slot, n, a, b = (np.array([getattr(r, k) for r in c], float) for k in ("slot", "n", "tox", "clean"))
-    nt, nc = max(whole.tox, 1), max(whole.clean, 1)
-    top = (a * (nc - b) - b * (nt - a)) ** 2 * (nt + nc)
-    chi = top / np.maximum(nt * nc * (a + b) * (nt + nc - a - b), 1e-9)
-    keep = np.flatnonzero(chi >= CHI2) if (chi >= CHI2).any() else np.flatnonzero(chi >= np.sort(chi)[-min(len(chi), 8)]) if len(chi) else np.zeros(0, int)
-    keep = keep[np.lexsort((slot[keep], -chi[keep]))][:VOCABULARY]
-    keep = keep[np.argsort(slot[keep])]
-    return Vocabulary(wide.hashes[slot[keep].astype(int)]), np.log((whole.n + 1) / n[keep]) + 1e-3
+def _singled(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The terms (term, chi) of toxic texts that lean to a label more than chance, or that no clean text has."""
+    nt, nc, a, b = F.lit(max(toxic, 1.0)), F.lit(max(clean, 1.0)), F.col("tox"), F.col("clean")
+    top = F.pow(a * (nc - b) - b * (nt - a), F.lit(2.0)) * (nt + nc)
+    chi = top / F.greatest(nt * nc * (a + b) * (nt + nc - a - b), F.lit(1e-9))
+    return counts.withColumn("chi", chi).filter((a > 0) & ((F.col("chi") >= CHANCE) | (b == 0))).select("term", "chi")
 
 
 def build(vocabulary: Vocabulary, idf: np.ndarray, rows: list, totals: dict, max_examples: int) -> Model | None:
@@ -252,13 +278,19 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, rows: list, totals: dict, max
     main = {i: int(rows[i][2][np.argmax(idf[rows[i][2]])]) for i in examples}
     examples.sort(key=lambda i: (rows[i][1], main[i], i))  # like beside like: tight block bounds
     blocks = max(2, -(-len(examples) // BLOCK))
-    weights = np.zeros((len(idf), blocks * BLOCK), np.float32)
-    model = Model(vocabulary, idf, weights, np.zeros(0), np.zeros(blocks * BLOCK), np.zeros(0), np.zeros(0), np.zeros(0), 0.0)
-    for k, i in enumerate(examples):
-        weights[rows[i][2], k] = model.vector(rows[i][2], rows[i][3])
-        model.labels[k] = rows[i][1]
-    model.weights = weights.reshape(len(idf), blocks, BLOCK)
-    model.block_max = model.weights.max(axis=2)
+    none = np.zeros(0)
+    model = Model(vocabulary, idf, none, none, none, none, none, none, np.zeros(blocks * BLOCK), none, none, none, 0.0)
+    model.labels[:len(examples)] = [rows[i][1] for i in examples]
+    term = np.concatenate([rows[i][2] for i in examples]).astype(np.int64)
+    example = np.repeat(np.arange(len(examples)), [len(rows[i][2]) for i in examples])
+    weight = np.concatenate([model.vector(rows[i][2], rows[i][3]) for i in examples]).astype(np.float32)
+    order = np.lexsort((example, term))
+    term, model.example, model.weight = term[order], example[order].astype(np.int32), weight[order]
+    block = model.example // BLOCK
+    first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+    model.run_at, model.run_block = np.r_[first, len(term)], block[first]
+    model.run_max = np.maximum.reduceat(model.weight, first)
+    model.runs = np.searchsorted(term[first], np.arange(len(idf) + 1))
     model.ids = np.array([rows[i][0] for i in examples], np.int64)
     place = {i: k for k, i in enumerate(examples)}
     others = [i for i in range(len(rows)) if i not in place]

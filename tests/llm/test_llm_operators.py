@@ -399,3 +399,16 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     out = corpus_pipeline.run(spark, folder).collect()
     ids = {r.doc_id for r in out}
     assert not ids & (toxic | {300, 301, 302, 303, 304}) and len(out) > 0
+
+
+def test_toxicity_finds_rare_words_whatever_the_number_of_terms(spark):
+    rng = random.Random(17)
+    plain = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    bad = [f"{c}{k}" for c in "zyxwvutsrq" for k in range(1000, 1140)]  # 1,400 words, each in four labelled toxic texts
+    rows = [(i, " ".join(rng.choices(plain, k=30) + (bad[i * 7 % 1400:][:7] if i < 800 else [])), "en", "s") for i in range(1600)]
+    new = [(2000 + k, " ".join([*rng.choices(plain, k=30), w]), "en", "s") for k, w in enumerate(bad[::35])]
+    lab = spark.createDataFrame([(i, int(i < 800)) for i in range(1600)], "doc_id long, toxic int")
+    model = toxicity.fit(make_docs(spark, rows + new), lab)
+    assert len(model.idf) >= 1400
+    got = {r.doc_id: r.score for r in toxicity.score(make_docs(spark, new).select("doc_id", "text"), "text", model).collect()}
+    assert len(got) == 40 and sum(x >= 0.7 for x in got.values()) >= 30
