@@ -91,16 +91,16 @@ def _with_keeper(df: DataFrame, id_col: str, payload_col: str, min_revisit: int)
     """Rows with ``sha`` and, where the payload has copies, ``keeper``: the largest id.
 
     Payloads with many copies (at most ``HEAVY`` digests can each hold a
-    thousandth of the rows) meet the rows by a broadcast of that proven size,
-    the rest by an ordinary join.
+    thousandth of the rows, rounded up) meet the rows by a broadcast of that
+    proven size, all others by an ordinary join.
     """
     rows = df.withColumn("sha", F.sha1(F.col(payload_col).cast("binary")))
     big = F.octet_length(payload_col) >= min_revisit
     counts = (df.filter(big).select(F.col(id_col).alias("i"), F.sha1(F.col(payload_col).cast("binary")).alias("sha"))
               .groupBy("sha").agg(F.max("i").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     copies = cut(counts, "payload-copies")
-    limit = max(2, df.select(F.lit(1)).count() // HEAVY)
-    heavy = copies.filter(F.col("n") >= limit).orderBy(F.desc("n")).limit(HEAVY + 1)
+    limit = max(2, -(-df.select(F.lit(1)).count() // HEAVY))
+    heavy = copies.filter(F.col("n") >= limit)  # n * HEAVY >= rows
     heavy_rows = heavy.select(F.col("sha").alias("sha_h"), F.col("keeper").alias("keeper_h"))
     rows = rows.join(F.broadcast(heavy_rows), rows["sha"] == heavy_rows["sha_h"], "left")
     light = copies.filter(F.col("n") < limit).select(F.col("sha").alias("sha_l"), F.col("keeper").alias("keeper_l"))

@@ -412,3 +412,9 @@ def test_toxicity_finds_rare_words_whatever_the_number_of_terms(spark):
     assert len(model.idf) >= 1400
     got = {r.doc_id: r.score for r in toxicity.score(make_docs(spark, new).select("doc_id", "text"), "text", model).collect()}
     assert len(got) == 40 and sum(x >= 0.7 for x in got.values()) >= 30
+
+
+def test_warc_revisits_more_than_a_thousand_groups_of_copies(spark):
+    df = spark.createDataFrame([(i, "u", f"<p>{i // 2}</p>") for i in range(2400)], "page_id long, url string, html string").repartition(4)
+    got = {r.id: (r.record_type, r.refers_to) for r in warc.read(warc.write(df, "page_id", "url", "html"), payloads=False).collect()}
+    assert got == {i: ("response", None) if i % 2 else ("revisit", i + 1) for i in range(2400)}
