@@ -30,9 +30,16 @@ from .feature_queries import feature_oracle
 from .registry import norm_sql, register
 
 SEED = 42
-GBT_QUERY_PARAMS = {"n_estimators": 40, "max_depth": 5, "learning_rate": 0.1}
-SEARCH_DRAWS = 4       # the notebooks run 30 or 50 draws; the operator takes n_iter
+GBT_QUERY_PARAMS = {"n_estimators": 150, "max_depth": 6, "learning_rate": 0.1}
+STARTER_PARAMS = {"n_estimators": 500, "max_depth": 6, "learning_rate": 0.1}  # the starter's learner grows 31 leaves
+SEARCH_DRAWS = 50
 SEARCH_FOLDS = 5
+BAGS = 10
+
+
+def search_draws():
+    """The draws of the registered search: the reference's number and ranges."""
+    return L.draw_params(SEARCH_DRAWS, seed=SEED)
 
 
 # --------------------------------------------------------------------------- #
@@ -120,8 +127,8 @@ def q_fit_bagged(spark, sf_dir):
     data = model_table(spark, sf_dir)
     cols = feature_list(data)
     train, test = _split(data)
-    bags = cut_lineage(L.assemble(R.balanced_bags(train, n_bags=10, seed=SEED), cols))
-    models = L.fit_bagged(bags, lambda: L.gbt(n_estimators=10, max_depth=4, learning_rate=0.3), 10)
+    bags = cut_lineage(L.assemble(R.balanced_bags(train, n_bags=BAGS, seed=SEED), cols))
+    models = L.fit_bagged(bags, lambda: L.gbt(**GBT_QUERY_PARAMS), BAGS)
     scores = L.score_bagged(models, L.assemble(test, cols))
     return apply_threshold(scores.join(test.select("client_id", "target"), "client_id"), 0.5)
 
@@ -145,11 +152,8 @@ def q_random_search(spark, sf_dir):
     data = model_table(spark, sf_dir)
     cols = feature_list(data)
     d = L.assemble(R.with_class_weight(R.stratified_folds(data.drop("fold"), k=SEARCH_FOLDS, seed=SEED)), cols)
-    # the operator's default space draws 100-500 trees of depth 3-9; this query
-    # draws 10-40 trees of depth 3-5 to bound its run time
-    space = {**L.SEARCH_SPACE, "n_estimators": (10, 40, "int"), "max_depth": (3, 6, "int")}
-    draws = L.draw_params(SEARCH_DRAWS, seed=SEED, space=space)
-    est = L.gbt(weight_col="weight", n_estimators=20)
+    draws = search_draws()
+    est = L.gbt(weight_col="weight")
     cvm = L.random_search(d, est, draws)
     rows = [(i, float(m), str(sorted(dr.items()))) for i, (m, dr) in enumerate(zip(cvm.avgMetrics, draws))]
     return spark.createDataFrame(rows, "draw int, mean_f1 double, params string")
@@ -162,7 +166,7 @@ def q_cross_validate(spark, sf_dir):
     data = model_table(spark, sf_dir)
     cols = feature_list(data)
     d = L.assemble(R.with_class_weight(data), cols)
-    scored = cut_lineage(L.cross_validated_scores(d, L.gbt(weight_col="weight", n_estimators=20, max_depth=4)))
+    scored = cut_lineage(L.cross_validated_scores(d, L.gbt(weight_col="weight", **GBT_QUERY_PARAMS)))
     return cv_metrics(L.fold_metrics(scored))
 
 
@@ -264,7 +268,7 @@ def q_compare_strategies(spark, sf_dir):
     }
     out = None
     for name, (prep, wcol) in strategies.items():
-        model = L.gbt(weight_col=wcol, n_estimators=20, max_depth=4).fit(prep(train))
+        model = L.gbt(weight_col=wcol, **GBT_QUERY_PARAMS).fit(prep(train))
         m = binary_metrics(_scored(model, tv)).withColumn("strategy", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
@@ -278,7 +282,7 @@ def q_starter_pipeline(spark, sf_dir):
     base = cast_categoricals(client).join(starter_aggregates(invoice), "client_id", "left")
     data = fill_zero(drop_columns(base, "creation_date"))
     cols = [c for c in data.columns if c not in ("client_id", "target")]
-    model = L.gbt(n_estimators=20, max_depth=4).fit(L.assemble(data, cols))
+    model = L.gbt(**STARTER_PARAMS).fit(L.assemble(data, cols))
     pred = model.transform(L.assemble(data.drop("target"), cols))
     return pred.select("client_id", F.col("prediction").cast("int").alias("target"))
 
