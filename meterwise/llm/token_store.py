@@ -160,7 +160,8 @@ class Encoder:
     by the 64-bit hash of its bytes; distinct pieces are encoded once by the
     tokenizer - plain words by its model, the rest as a whole - and their ids
     stay in a pool behind an open-addressing table.  The table is emptied when
-    it holds MAX_PIECES.
+    it holds MAX_PIECES, between slices; it doubles before it is over half full,
+    so one text may have any number of pieces.
     """
 
     _MARKS = b".,;:!?)"
@@ -208,13 +209,13 @@ class Encoder:
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(h), -1, np.int32)
-        todo, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        todo, slot = np.arange(len(h)), (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
         while len(todo):
             e = self.entry[slot]
             hit = (e >= 0) & (self.keys[slot] == h[todo])
             out[todo[hit]] = e[hit]
             on = (e >= 0) & ~hit
-            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
+            todo, slot = todo[on], (slot[on] + 1) & (len(self.keys) - 1)
         return out
 
     def _add(self, h: np.ndarray, ids: list[bytes]) -> None:
@@ -232,7 +233,15 @@ class Encoder:
         self.len[self.n:self.n + m] = size
         entry = np.arange(self.n, self.n + m, dtype=np.int32)
         self.used, self.n = self.used + len(flat), self.n + m
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        if 2 * self.n > len(self.keys):
+            held = self.entry >= 0
+            old, size = (self.keys[held], self.entry[held]), 1 << (2 * self.n - 1).bit_length()
+            self.keys, self.entry = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+            self._put(*old)
+        self._put(h, entry)
+
+    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
+        slot = (h & np.uint64(len(self.keys) - 1)).astype(np.int64)
         while len(entry):
             free = np.flatnonzero(self.entry[slot] < 0)
             _, first = np.unique(slot[free], return_index=True)
@@ -240,7 +249,7 @@ class Encoder:
             self.entry[slot[put]], self.keys[slot[put]] = entry[put], h[put]
             left = np.ones(len(entry), bool)
             left[put] = False
-            h, entry, slot = h[left], entry[left], (slot[left] + 1) & (SLOTS - 1)
+            h, entry, slot = h[left], entry[left], (slot[left] + 1) & (len(self.keys) - 1)
 
     def _model(self, word: str) -> bytes:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]).tobytes()

@@ -418,3 +418,14 @@ def test_warc_revisits_more_than_a_thousand_groups_of_copies(spark):
     df = spark.createDataFrame([(i, "u", f"<p>{i // 2}</p>") for i in range(2400)], "page_id long, url string, html string").repartition(4)
     got = {r.id: (r.record_type, r.refers_to) for r in warc.read(warc.write(df, "page_id", "url", "html"), payloads=False).collect()}
     assert got == {i: ("response", None) if i % 2 else ("revisit", i + 1) for i in range(2400)}
+
+
+def test_token_table_grows_within_one_text(monkeypatch):
+    monkeypatch.setattr(token_store, "SLOTS", 64)
+    path = pt.path(catalog.TOKENIZER)
+    encode = token_store.Encoder(path)
+    from tokenizers import Tokenizer
+    text = " ".join(f"word{k}x" for k in range(500)) + " " + " ".join(random_texts(5, 21))
+    data = np.frombuffer(text.encode(), np.uint8)
+    ids, n = encode(data, np.array([0, len(data)]))
+    assert list(ids) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids and n[0] == len(ids)
