@@ -15,8 +15,9 @@ A-Z only, as the definition asks.  Documents are named by id and a digest of
 the text.  The candidates of one document are compared in stretches of
 ``STRETCH`` positions, so no document collects an unbounded list.
 
-Defined cases: null texts have no words; items without words or with a null
-id have no window; repeated rows are marked alike; empty tables give no match.
+Defined cases: null texts have no words; items without words have no
+window; the windows of an item with a null id are hits, but it is in no list of
+items; repeated rows are marked alike; empty tables give no match.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def n_words(text: Column) -> Column:
 def benchmark_items(df: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item (number by content), item_id, words: whole items with at least one word."""
     rows = df.select(F.col(id_col).alias("item_id"), F.filter(words(F.col(text_col)), lambda x: x != "").alias("words"))
-    rows = rows.filter(F.col("item_id").isNotNull() & (F.size("words") > 0)).distinct()
+    rows = rows.filter(F.size("words") > 0).distinct()
     return rows.withColumn("item", F.xxhash64("item_id", "words"))
 
 
@@ -117,7 +118,9 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     out = out.withColumn("kind", F.lit("phrase"))
     if slop:
         near = found.join(expected, "item").select("id", "key", "item_id", "pos", "len").distinct()
-        near = near.join(out.select("id", "key", "item_id", "pos", "len"), ["id", "key", "item_id", "pos", "len"], "left_anti")
+        names = ["id", "key", "item_id", "pos", "len"]
+        phrases = out.select(*[F.col(c).alias(f"p_{c}") for c in names])
+        near = near.join(phrases, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in names], "left_anti")
         out = out.unionByName(near.withColumn("kind", F.lit("proximity")))
     return out
 

@@ -429,3 +429,10 @@ def test_token_table_grows_within_one_text(monkeypatch):
     data = np.frombuffer(text.encode(), np.uint8)
     ids, n = encode(data, np.array([0, len(data)]))
     assert list(ids) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids and n[0] == len(ids)
+
+
+def test_decontamination_counts_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (5, "seven eight")], "item_id long, text string")
+    rows = [(1, "x one two three y", "", ""), (2, "one two three seven eight", "", ""), (3, "none", "", "")]
+    got = {r.id: (r.n_hit, r["items"]) for r in decontaminate.marked(make_docs(spark, rows), bench).collect()}
+    assert got == {1: (3, []), 2: (5, ["5"]), 3: (0, [])}
