@@ -214,10 +214,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = labelled.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("tox"), F.count(F.lit(1)).alias("n")).first()
     found = _singled(labelled.select("text", "y").mapInArrow(label_counts, "term long, tox long, clean long")
                      .groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean")), size["tox"], size["n"] - size["tox"])
-    found = found.collect()  # at most the terms of max_toxic texts
-    if not found:
+    found = found.toArrow()  # at most the terms of max_toxic texts
+    if not found.num_rows:
         return None
-    vocabulary = Vocabulary(np.array([r.term for r in found], np.int64).view(np.uint64))
+    term, chi = found["term"].to_numpy().view(np.uint64), found["chi"].to_numpy()
+    order = np.argsort(term)
+    vocabulary, chi = Vocabulary(term), chi[order]
     small = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches):
@@ -231,12 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows, total[at]])], names=["slot", "n"])
 
-    counts = text.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    counts = text.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     n = np.ones(len(vocabulary.hashes) + 1)
-    for r in counts:
-        n[r.slot] = r.n  # the number of documents comes last
-    chi = np.zeros(len(vocabulary.hashes))
-    chi[np.searchsorted(vocabulary.hashes, np.array([r.term for r in found], np.int64).view(np.uint64))] = [r.chi for r in found]
+    n[counts["slot"].to_numpy()] = counts["n"].to_numpy()  # the number of documents comes last
     idf = (np.log((n[-1] + 1) / n[:-1]) + 1e-3) * chi / (chi + HALF)
 
     def vectors(batches):
@@ -251,9 +250,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                      "n": n[edge[i]:edge[i + 1]].astype(np.int32).tobytes()} for i in range(hi - lo)],
                     schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("slot", pa.binary()), ("n", pa.binary())]))
 
-    rows = labelled.select("text", "id", "y").mapInArrow(vectors, "id long, y int, slot binary, n binary").collect()
-    rows = sorted({r.id: r for r in rows}.values(), key=lambda r: r.id)
-    rows = [(r.id, r.y, np.frombuffer(r.slot, np.int32), np.frombuffer(r.n, np.int32)) for r in rows]
+    rows = labelled.select("text", "id", "y").mapInArrow(vectors, "id long, y int, slot binary, n binary").toArrow()
+    columns = [rows["id"].to_pylist(), rows["y"].to_pylist(), rows["slot"], rows["n"]]
+    rows = {i: (i, y, np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(k.as_buffer(), np.int32)) for i, y, s, k in zip(*columns)}
+    rows = sorted(rows.values(), key=lambda r: r[0])
     return build(vocabulary, idf, rows, totals, max_examples)
 
 
