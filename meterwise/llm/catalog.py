@@ -7,11 +7,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, langid, mixing, secret_links, token_store, topk, toxicity, url_rules, warc
+from . import (decontaminate, jaccard_join, langid, merkle, mixing, rule_ensemble, secret_links, token_store, topk, toxicity, url_rules, warc,
+               whitening)
 from ._tables import crc_mod, cut, table, text_key
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-TOXIC_AT = 0.7
+TOXIC_AT, GOOD_AT = 0.7, 0.3
 # The URL rules (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -62,7 +63,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; learnt from the labels whose id digest is not 1 modulo 3."""
     docs = table(spark, sf_dir, "documents")
-    model = corpus_pipeline.toxicity_model(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit_held_out(docs, table(spark, sf_dir, "labels"))
     held = crc_mod(F.col("doc_id"), 3) == 1
     return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), "text", model).select(
         "doc_id", "held_out", "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "evidence")
@@ -93,11 +94,50 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a benchmark window, and the items they come from."""
     rows = decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), corpus_pipeline.contaminated().alias("contaminated"))
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and the root that it folds to after half of the texts lost their line ends."""
+    docs = table(spark, sf_dir, "documents")
+    joined = F.when(crc_mod(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    manifest = merkle.build(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], {"text": joined})
+    return merkle.prove(manifest).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector on the 32 first components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by weighed rules; learnt from the labels whose id digest is not 0 modulo 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 5) != 0))
+    scored = rule_ensemble.score(docs, "text", model)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"), "rules")
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_secret_links, op3_url_rules, op4_language_id, op5_toxicity, op6_warc, op7_token_store,
-                                   op8_mixing, op9_jaccard_join, op10_decontamination)} | {"pipeline": corpus_pipeline.run}
+                                   op8_mixing, op9_jaccard_join, op10_decontamination, op11_merkle_manifest, op12_whitening, op13_quality_rules)} | {"pipeline": corpus_pipeline.run}
+
+def _part(x: str) -> str:
+    return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_part, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _levels(name: str, first: str, group: str) -> str:
+    """A tree's nodes (l, pos, h) of ``n`` on the level, and each one's siblings (lo, hi)."""
+    return f"""{name} AS ({first} UNION ALL
+  SELECT {group}, l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY {group}, l, pos // 3, n),
+{name}_s AS (SELECT a.{group}, a.l, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lo,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS hi
+  FROM {name} a JOIN {name} b ON a.{group} IS NOT DISTINCT FROM b.{group} AND a.l = b.l AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY a.{group}, a.l, a.pos)"""
+
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -120,6 +160,24 @@ m AS (SELECT page_id, url, host, path, (SELECT max_by({{'rule': rhost || rpath,
 n AS (SELECT url, count(*) AS n FROM pages GROUP BY url)
 SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.v, CASE WHEN n > 1 THEN 'block' ELSE 'allow' END) AS verdict
 FROM m LEFT JOIN n USING (url)""",
+    # the lowest bit of crc32: a byte, then eight shifts (marked -1)
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE c AS (SELECT *, list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''),
+    lambda x: CASE WHEN x = '' THEN [] ELSE [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] END)),
+    lambda a, b: CASE WHEN b < 0 THEN xor(a >> 1, CASE WHEN a & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END) ELSE xor(a, b) END) & 1 = 1 AS even FROM documents),
+lf AS (SELECT doc_id, source, {_leaf('text')} AS leaf, CASE WHEN even THEN {_leaf("replace(text, chr(10), '')")} END AS changed FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+  row_number() OVER () AS r FROM lf),
+{_levels('t', 'SELECT source, 0 AS l, pos, leaf AS h, n FROM p', 'source')},
+g AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+{_levels('u', "SELECT 0 AS one, 0 AS l, pos, subroot AS h, n FROM g", 'one')},
+q AS (SELECT r, l, lo, hi FROM p JOIN t_s s ON s.source IS NOT DISTINCT FROM p.source AND s.pos = p.pos // CAST(pow(3, l) AS BIGINT)
+  UNION ALL SELECT r, 1000 + l, lo, hi FROM p JOIN g ON g.source IS NOT DISTINCT FROM p.source JOIN u_s s ON s.pos = g.pos // CAST(pow(3, l) AS BIGINT)),
+f AS (SELECT r, string_agg(lo || hi, '' ORDER BY l) AS proof, list(lo || '.' || hi ORDER BY l) AS path FROM q GROUP BY r),
+o AS (SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce([coalesce(changed, leaf)] || coalesce(path, []), lambda a, b: sha256(split_part(b, '.', 1) || a || split_part(b, '.', 2))) AS folded_root
+  FROM p JOIN g ON g.source IS NOT DISTINCT FROM p.source LEFT JOIN f USING (r))
+SELECT *, folded_root = root AS verified FROM o""",
     "op9_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

@@ -138,3 +138,8 @@ def marked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     rows = rows.join(both, F.col("id").eqNullSafe(F.col("hid")) & (F.col("key") == F.col("hkey")), "left")
     return rows.select("id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def contaminated() -> Column:
+    """The contamination rule on n_hit and n_words: at least a twentieth of the words are hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
