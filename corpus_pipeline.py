@@ -19,22 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterwise.llm import decontaminate, jaccard_join, mixing, token_store, toxicity
-from meterwise.llm._tables import crc_mod, cut, shared_folder, table, text_key
+from meterwise.llm._tables import cut, shared_folder, table, text_key
 
 TOXIC_AT = 0.7
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame):
-    """Learnt from the labels whose id digest is not 1 modulo 3."""
-    return toxicity.fit(docs, labels.filter(crc_mod(F.col("doc_id"), 3) != 1))
-
-
-def contaminated() -> Column:
-    """The contamination rule on n_hit and n_words."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-
-
 def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", text_key(F.col("text")))
 
@@ -44,7 +34,7 @@ def _same() -> Column:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit_held_out(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, "text", model, "_tox_", keep_text=True)
     return scored.filter(F.col("_tox_score") < TOXIC_AT).select(*docs.columns)
 
@@ -64,7 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = decontaminate.marked(docs, table(spark, sf_dir, "benchmark"))
-    bad = cut(marks.filter(contaminated()).select(F.col("id").alias("_r_id"), F.col("key").alias("_r_key")).distinct(), "contaminated")
+    bad = cut(marks.filter(decontaminate.contaminated()).select(F.col("id").alias("_r_id"), F.col("key").alias("_r_key")).distinct(), "contaminated")
     return _named(docs).join(bad, _same(), "left_anti").select(*docs.columns)
 
 
