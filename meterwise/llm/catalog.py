@@ -112,9 +112,9 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by weighed rules; learnt from the labels whose id digest is not 0 modulo 5."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 5) != 0))
-    scored = rule_ensemble.score(docs, "text", model)
+    rows = rule_ensemble.described(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    model = rule_ensemble.fit(rows, table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 5) != 0))
+    scored = rule_ensemble.score(rows, model)
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"), "rules")
 
 

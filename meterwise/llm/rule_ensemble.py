@@ -33,6 +33,7 @@ from ._tables import cut
 
 TREES, DEPTH, BINS, SEED = 40, 3, 64, 17
 PENALTY, ITERATIONS = 0.001, 100
+OWN = "_stat_"
 BALANCE = 0.5  # share of the forest's weight that each label gets
 
 
@@ -134,21 +135,21 @@ def conjunction(conditions: list[tuple[str, str, float]]) -> Rule:
     return Rule(tuple((n, low.get(n), high.get(n)) for n in sorted({*low, *high})))
 
 
-def with_statistics(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
-    """``df`` with the statistics of its text, their names after ``prefix``; other columns keep their names."""
+def described(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` without its text but with the text's statistics, their names after OWN; written, so each text is read once."""
     base, made = statistics(F.col("_text"))
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    inner = df.select(F.struct(*keep).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    keep = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    inner = df.select(F.struct(F.lit(0).alias("_"), *keep).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     inner = inner.select("_row", *[c.alias(n) for n, c in base]).select("_row", *[c.alias(n) for n, c in made])
-    return inner.select("_row.*", *[F.col(n).alias(prefix + n) for n in NAMES])
+    return cut(inner.select(*[F.col(f"_row.`{c}`") for c in df.columns if c != text_col], *[F.col(n).alias(OWN + n) for n in NAMES]), "text-statistics")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learn from the rows of ``labels`` (the caller leaves out what must be held out)."""
+def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model:
+    """Learn from the described rows that ``labels`` name (the caller leaves out what must be held out)."""
     known = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) == 1).cast("double")).alias("y")))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_words")).join(known, "_id")
-    data = cut(with_statistics(rows, "_words").drop("_words", "_id"), "labelled-statistics")
+    data = rows.select(F.col(id_col).alias("_id"), *[F.col(OWN + n).alias(n) for n in NAMES]).join(known, "_id").drop("_id")
+    data = cut(data, "labelled-statistics")
     sizes = {r.y: r.n for r in data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model(0.0, [], next(iter(sizes), 0.5))
@@ -167,10 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(float(lasso.intercept), kept)
 
 
-def score(df: DataFrame, text_col: str, model: Model, prefix: str = "") -> DataFrame:
-    """``df`` with score and rules (the weighed rules that hold), their names after ``prefix``."""
-    own = "_stat_"
-    rows = with_statistics(df, text_col, own)
-    names = F.array(*[F.when(r.column(own), F.lit(str(r))) for r, _ in model.rules]).cast("array<string>")
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], model.score(own).cast("double").alias(prefix + "score"),
-                       F.filter(names, lambda x: x.isNotNull()).alias(prefix + "rules"))
+def score(rows: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """The described rows with score and rules (the weighed rules that hold), their names after ``prefix``, for the statistics."""
+    names = F.array(*[F.when(r.column(OWN), F.lit(str(r))) for r, _ in model.rules]).cast("array<string>")
+    kept = [F.col(f"`{c}`") for c in rows.columns if not c.startswith(OWN)]
+    return rows.select(*kept, model.score(OWN).cast("double").alias(prefix + "score"), F.filter(names, lambda x: x.isNotNull()).alias(prefix + "rules"))
