@@ -8,12 +8,12 @@ import tempfile
 import zipfile
 
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_path
 
-__all__ = ["cut", "shared_folder", "open_store", "table", "crc_mod", "text_key"]
+__all__ = ["cut", "cut_with", "shared_folder", "open_store", "table", "crc_mod", "text_key"]
 
 
 _SHIPPED: set[str] = set()
@@ -47,6 +47,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def cut_with(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut`, and aggregates of the rows taken while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in sums.items()]), name)
+    return out, seen.get
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for a binary format, under ``spark.checkpoint.dir``."""
     return shared_path(spark, "files", name)

@@ -41,11 +41,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import NON_BLANK, Hasher, U, mix, signed, slices, words
-from ._tables import cut, text_key
+from ._tables import cut, cut_with, text_key
 
 WORDS, PERCENT = 5, 80
 SMALL, BLOCK = 32, 4096
@@ -207,10 +207,15 @@ class Bloom:
         at = int(name) >> (64 - BLOOM_BITS)
         return bool(self.bits[at >> 6] >> U(at & 63) & U(1))
 
+    def marks(self, names: np.ndarray) -> np.ndarray:
+        """Which of the names may be members."""
+        at = names >> U(64 - BLOOM_BITS)
+        return (self.bits[at >> U(6)] >> (at & U(63)) & U(1)).astype(bool)
+
     @classmethod
-    def of(cls, nodes: DataFrame) -> Bloom:
+    def of(cls, nodes: DataFrame, column: str = "node") -> Bloom:
         """At most 2**BLOOM_BITS / 64 rows come to the driver."""
-        at = F.shiftrightunsigned("node", 64 - BLOOM_BITS)
+        at = F.shiftrightunsigned(column, 64 - BLOOM_BITS)
         rows = (nodes.select(at.alias("at")).select(F.expr("at >> 6").alias("w"), F.expr("shiftleft(1L, cast(at & 63 AS INT))").alias("b"))
                 .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
         bits = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
@@ -255,12 +260,12 @@ def _scanned(ids, key, size, names, shingle, times) -> pa.RecordBatch:
                                       names=["id", "key", "n_shingles", "node", "shingle", "times"])
 
 
-def _keys(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(key, node, size) of every distinct set of a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_SHINGLES hashes
+def _keys(docs: DataFrame, hot: np.ndarray, n: int, percent: int, wanted: Bloom | None = None) -> DataFrame:
+    """(key, node, size) of every distinct set of a task; of ``wanted`` keys (and a few others) only."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, wanted))  # at most HOT_SHINGLES hashes, 2**BLOOM_BITS bits
 
     def run(batches):
-        h = shared.value
+        h, bloom = shared.value
         marks = np.zeros(1 << 20, bool)
         marks[h >> U(44)] = True
         for _, _, _, x, edge, names, fresh in _sets(batches, n, True):
@@ -272,6 +277,9 @@ def _keys(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
             frequent[at] = h[np.minimum(np.searchsorted(h, v[at]), len(h) - 1)] == v[at]
             size = np.diff(edge)[fresh]
             key, r = prefix_keys(v, row, size, frequent, percent)
+            if bloom is not None:
+                may = bloom.marks(key)
+                key, r = key[may], r[may]
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(names[fresh][r])), pa.array(size[r].astype(np.int32))],
                                              names=["key", "node", "size"])
 
@@ -414,15 +422,11 @@ def components(links: DataFrame) -> DataFrame:
         return (kept.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
                 .filter("a <> b").distinct())
 
-    def mark(edges: DataFrame) -> tuple:
-        r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
+    mark = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
     edges = cut(links.filter("a <> b").distinct(), "links")
     before = None
     while True:
-        edges = cut(star(star(edges, True), False), "stars")
-        now = mark(edges)
+        edges, now = cut_with(star(star(edges, True), False), "stars", **mark)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
@@ -431,9 +435,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_nodes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
     """(node, comp) of every node that is linked with another."""
-    w = Window.partitionBy("key")
-    keyed = (_keys(docs, hot, n, percent).withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w))
-             .filter("lo <> hi").select("key", "node", "size"))
+    ends = _keys(docs, hot, n, percent).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = cut(ends.filter("lo <> hi").select("key"), "shared-keys")
+    keyed = _keys(docs, hot, n, percent, Bloom.of(shared, "key")).join(shared, "key", "left_semi")
     live = cut(keyed.distinct(), "live-keys")
     counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     live = live.join(counts, "key")
@@ -442,8 +446,9 @@ def linked_nodes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> Data
     other = few.select("key", F.col("node").alias("b"), F.col("size").alias("sb"))
     pairs = (few.select("key", F.col("node").alias("a"), F.col("size").alias("sa")).join(other, "key")
              .filter((F.col("a") < F.col("b")) & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))).select("a", "b").distinct())
-    dense = cut(live.filter(F.col("n") > SMALL).select("key", "node", "size"), "dense-keys")
-    some_dense = not dense.isEmpty()
+    rows = {"n": F.count(F.lit(1))}
+    dense, many = cut_with(live.filter(F.col("n") > SMALL).select("key", "node", "size"), "dense-keys", **rows)
+    some_dense = bool(many["n"])
     hubs = dense.groupBy(F.col("key").alias("hub_key")).agg(F.min(F.struct("node", "size")).alias("hub"))
     stars = (dense.join(hubs, F.col("key") == F.col("hub_key")).filter(F.col("node") != F.col("hub.node"))
              .filter(100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size"))
@@ -470,13 +475,12 @@ def linked_nodes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> Data
         if some_dense and not first:
             todo = todo.unionByName(_dense_pairs(dense, comps, refused, sketches, percent, each))
             each *= 16  # a node with many near misses needs few rounds
-        tested = cut(verify(cut(todo.distinct(), "to-verify"), sets, percent), "verified")
-        if tested.isEmpty() and not first:
+        tested, found = cut_with(verify(cut(todo.distinct(), "to-verify"), sets, percent), "verified", linked=F.count_if("linked"), **rows)
+        if not found["n"] and not first:
             return comps
-        refused = refused.unionByName(tested.filter("not linked").select("a", "b"))
-        new = tested.filter("linked").select("a", "b")
-        if not new.isEmpty():
-            links = links.unionByName(new)
+        refused = cut(refused.unionByName(tested.filter("not linked").select("a", "b")), "refused")
+        if found["linked"]:
+            links = cut(links.unionByName(tested.filter("linked").select("a", "b")), "all-links")
             comps = cut(components(links), "components")
         first = False
 

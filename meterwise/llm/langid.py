@@ -3,8 +3,9 @@
 Subwords are the byte n-grams of the lower-cased text (other bytes than
 letters read as blanks), hashed into 2**BITS buckets.  A text's vector is the
 mean of its subwords' embeddings; a linear softmax gives the language.  Both
-are trained by stochastic gradient descent in numpy on a bounded sample
-(``rows_per_lang`` rows of each language, the smallest digests of the id).  A
+are trained by stochastic gradient descent in numpy on a bounded sample: of
+each language the ``rows_per_lang`` labelled rows with the smallest digests of
+id and text (the languages themselves are taken to be few).  A
 fifth of the sample is kept aside to calibrate: one temperature for the scores
 and, for the ``rejected`` column, the score from which predictions reach the
 wanted precision.  For prediction the product of embeddings and softmax is
@@ -12,7 +13,10 @@ folded into one table of buckets x languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and rejected; if nothing can be learnt (no labelled row) every text is
-``und``; repeated rows keep their own result.
+``und``; repeated rows keep their own result and are learnt from once, texts
+of one id or one text in two languages are rows of their own; texts of any
+length count whole (a text's vector is a mean); other columns are kept under
+their names, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrays import LOWER, slices
+from ._tables import cut, text_key
 
 BITS, ORDERS, DIM, EPOCHS, RATE, SEED = 16, (2, 3, 4), 16, 12, 0.5, 7
-ROWS_PER_LANG = 1500
+ROWS_PER_LANG, RANGE_BITS = 1500, 10
 PRECISION = 0.995
 _NORM = LOWER.copy()
 _NORM[[c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122)]] = 0x20
@@ -85,8 +90,8 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
     rng = np.random.default_rng(SEED)
     y = np.array([langs.index(x[0]) for x in examples])
     order = rng.permutation(len(examples))
-    aside = order[:len(order) // 5] if len(order) >= 20 else order
-    learn = order[len(order) // 5:] if len(order) >= 20 else order
+    fifth = -(-len(order) // 5)
+    aside, learn = order[:fifth], order[fifth:] if len(order) > 1 else order
     emb = rng.normal(0, 1 / DIM, ((1 << BITS) + 1, DIM))
     emb[-1] = 0
     out, bias = np.zeros((DIM, len(langs))), np.zeros(len(langs))
@@ -117,16 +122,26 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
     return Model(langs, table, bias, float(temperature), accept)
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """(h, lang) of the ``most`` smallest digests of each language: ranks inside digest ranges plus the counts of the ranges before."""
+    named = rows.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("rng", F.shiftright("h", 64 - RANGE_BITS))
+    sums = named.groupBy("lang", "rng").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("rng")) - F.col("n")  # at most 2**RANGE_BITS rows a language
+    used = sums.withColumn("before", before).filter(F.col("before") < most).select("lang", "rng", "before")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("lang", "rng").orderBy("h"))
+    return named.join(used, ["lang", "rng"]).withColumn("place", place).filter(F.col("place") <= most).select("lang", "h")
+
+
 def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, rows_per_lang: int = ROWS_PER_LANG) -> Model | None:
-    """Train on at most ``rows_per_lang`` rows of each language among those where ``learn`` holds."""
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    ids = (df.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-           .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"))
-           .withColumn("at", F.row_number().over(first)).filter(F.col("at") <= rows_per_lang).select("id", "lang").dropDuplicates(["id"]))
-    sample = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")  # rows_per_lang ids a language
-    rows = sample.select("text", "lang").mapInArrow(_collect, "lang string, idx binary, n binary").collect()
-    rows = sorted(rows, key=lambda r: (r.lang, bytes(r.idx), bytes(r.n)))
-    return train([(r.lang, np.frombuffer(r.idx, np.int32), np.frombuffer(r.n, np.int32)) for r in rows])
+    """Train on at most ``rows_per_lang`` different labelled texts of each language among the rows where ``learn`` holds."""
+    rows = (df.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+            .select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+                    F.xxhash64(F.col(id_col), text_key(F.col(text_col)), F.col(lang_col)).alias("h")))
+    chosen = cut(_sample(rows, rows_per_lang), "language-sample")  # at most rows_per_lang rows a language
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    found = sample.select("text", "lang").mapInArrow(_collect, "lang string, idx binary, n binary").collect()
+    found = sorted(found, key=lambda r: (r.lang, bytes(r.idx), bytes(r.n)))
+    return train([(r.lang, np.frombuffer(r.idx, np.int32), np.frombuffer(r.n, np.int32)) for r in found])
 
 
 def predict(df: DataFrame, text_col: str, model: Model | None) -> DataFrame:

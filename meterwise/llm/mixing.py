@@ -8,8 +8,11 @@ the others until no target is above its stop.
 Slot i of the schedule takes the golden-ratio point frac(i * phi); its place
 among the cumulative targets names the source, and the rank of the slot among
 its source's slots names the block it plays.  A source's documents are shuffled
-by digest and laid end to end, at most ``max_repeat`` times over, and cut into
-blocks of equal word counts; slots and blocks meet by (source, number).
+by digest and laid end to end, at most ``max_repeat`` times over, as far as its
+target goes, and cut into blocks of equal word counts; slots and blocks meet by
+(source, number).  Blocks beyond a source's last slot, and the remainder of a
+target that is no whole number of blocks, play in a finer slot of the source at
+the end, so every source plays its target to the word.
 
 Nothing is ranked in one task: positions are running sums inside digest ranges
 of a few thousand documents plus the sums of the ranges before; slot ranks are
@@ -114,8 +117,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """(documents, pieces, schedule).
 
     documents: id, key, source, size, src, source_size, target, pos; pieces:
-    src, pos, epoch, slot, words - the run of a document's words that a slot
-    plays; schedule: slot, src, block.
+    src, pos, epoch, slot, first, words - the run of a document's words (from
+    the word ``first`` on) that a slot plays; schedule: slot, src, block.
     """
     docs = cut(df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(source_col).alias("source"),
                          word_count(F.col(text_col)).alias("size")), "mix-sizes")
@@ -124,24 +127,34 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     laid = cut(positions(known, docs.count()), "mix-positions")
     total = int(targets.agg(F.sum("source_size")).first()[0] or 0)
     block = max(1, min(BLOCK_WORDS, total // SLOTS))
-    plan = cut(schedule(targets, -(-total // block)), "mix-schedule")
+    slots = -(-total // block)
+    plan = cut(schedule(targets, slots), "mix-schedule")
     start = F.col("pos") + F.col("epoch") * F.col("source_size")
-    # blocks beyond a source's last slot find no slot in the join below
     runs = (laid.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_repeat - 1).cast("long"))))
-            .withColumn("lo", start).withColumn("hi", F.col("lo") + F.col("size"))
+            .withColumn("lo", start).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.round("target").cast("long"))).filter("lo < hi")
             .withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
-            .select("src", "pos", "epoch", "block", (F.least("hi", (F.col("block") + 1) * block) - F.greatest("lo", F.col("block") * block)).alias("words")))
-    return laid, runs.join(plan, ["src", "block"]).select("src", "pos", "epoch", "slot", "words"), plan
+            .withColumn("at", F.greatest("lo", F.col("block") * block))
+            .select("src", "pos", "epoch", "block", (F.col("at") - F.col("lo")).alias("first"), (F.least("hi", (F.col("block") + 1) * block) - F.col("at")).alias("words")))
+    pieces = runs.join(plan, ["src", "block"], "left").withColumn("slot", F.coalesce("slot", F.lit(slots) + F.col("src")))
+    return laid, pieces.select("src", "pos", "epoch", "slot", "first", "words"), plan
 
 
 def taken_words(df: DataFrame, **options) -> DataFrame:
-    """id, key, source, size, source_size, target, taken and ``plays`` (epochs that take over half of the document)."""
+    """id, key, source, size, source_size, target, taken, ``plays`` (epochs that take the whole document) and ``part`` (words of
+    the epoch that takes its beginning only, else 0)."""
     docs, pieces, _ = mix(df, **options)
     each = pieces.groupBy("src", "pos", "epoch").agg(F.sum("words").alias("words"))
-    sums = each.groupBy("src", "pos").agg(F.sum("words").alias("taken"), F.collect_list("words").alias("by_epoch"))
-    out = docs.join(sums, ["src", "pos"], "left")
-    plays = F.size(F.filter(F.coalesce("by_epoch", F.array().cast("array<long>")), lambda w: w * 2 > F.col("size")))
+    sums = each.groupBy("src", "pos").agg(F.sum("words").alias("taken"))
     some = F.col("size") > 0
-    return out.select("id", "key", "source", "size", "source_size", "target",
-                      F.when(some, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
-                      F.when(some, plays).otherwise(0).alias("plays"))
+    taken = F.when(some, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
+    # epochs play in order and only a source's last run is cut short
+    out = docs.join(sums, ["src", "pos"], "left").withColumn("taken", taken)
+    size = F.greatest("size", F.lit(1))
+    return out.select("id", "key", "source", "size", "source_size", "target", "taken", F.floor(F.col("taken") / size).cast("int").alias("plays"),
+                      (F.col("taken") % size).cast("long").alias("part"))
+
+
+def beginning(text: Column, n: Column) -> Column:
+    """The first n words, one blank apart."""
+    found = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_join(F.slice(found, F.lit(1), n.cast("int")), " ")

@@ -13,8 +13,8 @@ Segment layout (little endian): magic, tokens, documents, levels (int64 each);
 document ids, their null flags and start positions; per level: count, chunks,
 bitmap words, rank directory.
 
-Documents are range-partitioned and sorted by id (nulls first, equal ids by a
-digest of the text); each task writes files of its own and returns their
+Documents are range-partitioned and sorted by id and a digest of the text
+(nulls first), so different texts of one id are spread over tasks; each task writes files of its own and returns their
 segments, so a task that is run again leaves only unused files behind.
 
 Defined cases: a null text is empty (its only token is the end id); repeated
@@ -38,7 +38,7 @@ from ._tables import cut, join_path, open_store, shared_folder, text_key
 
 CHUNK = 8
 SEGMENT_TOKENS = 1 << 20
-SLOTS, MAX_PIECES = 1 << 22, 2_000_000
+SLOTS, MAX_BYTES = 1 << 20, 64 << 20
 MAGIC = int.from_bytes(b"DACSEG01", "little")
 SEGMENT = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
                      ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -160,7 +160,7 @@ class Encoder:
     by the 64-bit hash of its bytes; distinct pieces are encoded once by the
     tokenizer - plain words by its model, the rest as a whole - and their ids
     stay in a pool behind an open-addressing table.  The table is emptied when
-    it holds MAX_PIECES, between slices; it doubles before it is over half full,
+    it takes over MAX_BYTES, between slices; it doubles before it is over half full,
     so one text may have any number of pieces.
     """
 
@@ -184,6 +184,10 @@ class Encoder:
         self.at, self.len = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.entry, self.at, self.len, self.pool))
+
     def _starts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """First bytes of the pieces."""
         n = len(data)
@@ -275,7 +279,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
         s = self._starts(data, off)
         h = Hasher(data, lower=False).ranges(s, np.r_[s[1:], len(data)])
-        if self.n > MAX_PIECES:
+        if self.nbytes > MAX_BYTES:
             self.reset()
         found = self._find(h)
         new = np.flatnonzero(found < 0)
@@ -306,7 +310,8 @@ def write(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id
     """Encode and write all rows in ascending id order; returns the segments."""
     folder = folder or shared_folder(df.sparkSession, "tokens")
     rows = (df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .repartitionByRange("id").sortWithinPartitions("id", text_key(F.col("text"))))
+            .withColumn("key", text_key(F.col("text"))).repartitionByRange("id", "key").sortWithinPartitions("id", "key").select("id", "text"))
+
     def put(batches):
         fs, root = open_store(folder)
         fs.create_dir(root, recursive=True)

@@ -11,9 +11,9 @@ The examples are blocks of an inverted index of postings; every term keeps its
 largest weight in each block that holds it.  A query first bounds each block by the sum of those
 maxima, scores the two best blocks, and then every block whose bound reaches
 the k-th best score, so the k nearest examples are exact.  The neighbours vote
-with their squared similarity; an isotonic map, fitted on labelled rows that
-are no examples and weighted to the labels' true shares, turns votes into
-probabilities.
+with their squared similarity; an isotonic map, fitted on the sampled rows (an
+example votes without itself) and weighted to the labels' true shares, turns
+votes into probabilities.
 
 The labelled sample is bounded: ``max_toxic`` and ``max_clean`` rows (smallest
 digests of the id), of which ``max_examples`` of each label are examples.
@@ -38,7 +38,7 @@ from ._arrays import ALNUM, Hasher, U, mix, signed, slices, words
 from ._tables import crc_mod, cut
 
 PREFIXES = (4, 5, 6)
-MAX_TOXIC, MAX_CLEAN, MAX_EXAMPLES = 6000, 12000, 1024
+MAX_TOXIC, MAX_CLEAN, MAX_EXAMPLES = 2048, 4096, 1024
 CHANCE, HALF = 1.0, 30.0
 BLOCK, NEIGHBOURS = 64, 9
 RANGE_BITS = 10
@@ -254,6 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     columns = [rows["id"].to_pylist(), rows["y"].to_pylist(), rows["slot"], rows["n"]]
     rows = {i: (i, y, np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(k.as_buffer(), np.int32)) for i, y, s, k in zip(*columns)}
     rows = sorted(rows.values(), key=lambda r: r[0])
+    small.destroy()
+    del found, counts, columns
+    pa.default_memory_pool().release_unused()
     return build(vocabulary, idf, rows, totals, max_examples)
 
 
@@ -271,7 +274,7 @@ def _singled(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
 
 
 def build(vocabulary: Vocabulary, idf: np.ndarray, rows: list, totals: dict, max_examples: int) -> Model | None:
-    """Index the examples and calibrate on the other rows (on all, each without itself, if there are few)."""
+    """Index the examples and calibrate on all rows, an example without itself."""
     rng = np.random.default_rng(11)
     full = [i for i in rng.permutation(len(rows)) if len(rows[i][2])]
     examples = []
@@ -298,10 +301,7 @@ def build(vocabulary: Vocabulary, idf: np.ndarray, rows: list, totals: dict, max
     model.runs = np.searchsorted(term[first], np.arange(len(idf) + 1))
     model.ids = np.array([rows[i][0] for i in examples], np.int64)
     place = {i: k for k, i in enumerate(examples)}
-    others = [i for i in range(len(rows)) if i not in place]
-    enough = min(sum(rows[i][1] == y for i in others) for y in (0, 1)) >= 100
-    used = others if enough else range(len(rows))
-    votes = [(model.vote(rows[i][2], rows[i][3], place.get(i, -1))[0], rows[i][1]) for i in used]
+    votes = [(model.vote(rows[i][2], rows[i][3], place.get(i, -1))[0], rows[i][1]) for i in range(len(rows))]
     # examples are balanced; weights give each label its share among all labelled rows
     seen = {y: max(1, sum(v[1] == y for v in votes)) for y in (0, 1)}
     share = {y: totals.get(y, 0) / seen[y] for y in (0, 1)}

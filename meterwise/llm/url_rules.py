@@ -83,7 +83,7 @@ def probe(listed: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
 
 
 def judge(df: DataFrame, url_col: str, rules: DataFrame, exact: DataFrame | None = None) -> DataFrame:
-    """``df`` with host, path, rule and verdict.
+    """``df`` with host, path, rule and verdict, which take the place of columns of these names.
 
     rules: (host, path, verdict), path beginning with ``/``; exact: (url, verdict).
     """
@@ -108,9 +108,11 @@ def judge(df: DataFrame, url_col: str, rules: DataFrame, exact: DataFrame | None
     probes = urls.select("url", F.explode(F.concat(*tries)).alias("p")).select("url", "p.*")
     found = cut(probe(entries, probes.select("key").distinct(), shards), "url-found")
     hits = (probes.join(found, "key").groupBy("url")
-            .agg(F.max_by(F.struct("key", "verdict", "chars"), F.struct("chars", "key")).alias("hit")))
-    rows = df.withColumn("_url", F.col(url_col)).join(hits.withColumnRenamed("url", "_url"), "_url", "left")
-    h, p = split_url(F.col(url_col))
-    return (rows.withColumn("host", h).withColumn("path", p)
-            .withColumn("rule", F.when(F.col("hit.chars") > 0, F.col("hit.key")))
-            .withColumn("verdict", F.coalesce(F.col("hit.verdict"), F.lit("allow"))).drop("_url", "hit"))
+            .agg(F.max_by(F.struct("key", "verdict", "chars"), F.struct("chars", "key")).alias("_hit")))
+    made = ("host", "path", "rule", "verdict")
+    h, p = split_url(F.col("_url"))
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], F.col(f"`{url_col}`").alias("_url"))
+    rows = rows.join(hits.withColumnRenamed("url", "_url"), "_url", "left")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    return rows.select(*kept, h.alias("host"), p.alias("path"), F.when(F.col("_hit.chars") > 0, F.col("_hit.key")).alias("rule"),
+                       F.coalesce(F.col("_hit.verdict"), F.lit("allow")).alias("verdict"))

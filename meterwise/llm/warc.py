@@ -35,6 +35,7 @@ FILE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
 HEAVY = 1000
+READ_BYTES, LEAST_BYTES = 64 << 20, 1 << 20  # archive bytes of a reading task
 INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("id", pa.int64()), ("url", pa.string()),
                    ("payload_digest", pa.string()), ("record_type", pa.string())])
 INDEX_DDL = "file string, offset long, length long, id long, url string, payload_digest string, record_type string"
@@ -171,5 +172,8 @@ def read(selected: DataFrame, payloads: bool = True, gap: int = GAP_BYTES, range
                     got.append(x if payloads else x | {"payload": None})
                 yield pa.RecordBatch.from_pylist(got, schema=RECORD)
 
-    wanted = ranges(selected, gap, range_bytes)
+    # tasks by the archives' bytes, not by the index's
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // READ_BYTES), min(selected.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)), 1)
+    wanted = ranges(selected, gap, range_bytes).repartition(int(tasks), "folder", "file", "range")
     return wanted.select("folder", "file", "lo", "hi", "records").mapInArrow(get, RECORD_DDL)
