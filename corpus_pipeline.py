@@ -4,12 +4,17 @@ Every stage takes all documents that the stage before it kept, as Parquet, and
 returns a DataFrame; its decisions take effect: rejected documents are gone,
 one document of each near-duplicate group stays (the smallest id), contaminated
 documents are gone, and the mix repeats a document once for every epoch that
-plays most of it (documents that it does not play are gone).  The last stage
-returns the token files' directory, read back from the files.
+plays it; of the one document of a source with which its target is reached, the
+words up to there are a row of their own (documents that it does not play are
+gone).  The last stage returns the token files' directory, read back from the
+files.
 
 Rows are named by their id and a digest of the text, so null or repeated ids
-are kept apart; documents without words are linked with nothing and stay until
-the mix, which plays words.
+are kept apart (the same id, text and source several times are one document
+with all their plays); documents without words are linked with nothing and stay
+until the mix, which plays words.  Very long texts go through every stage whole;
+of equal choices the smallest id, then the smallest digest stays.  Empty tables
+give empty results, missing labels or benchmark items reject nothing.
 """
 
 from __future__ import annotations
@@ -59,10 +64,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plays = mixing.taken_words(docs).groupBy(F.col("id").alias("_r_id"), F.col("key").alias("_r_key"), F.col("source").alias("_source")).agg(F.sum("plays").alias("_plays"))
-    plays = cut(plays.filter("_plays > 0"), "plays")
+    named = [F.col("id").alias("_r_id"), F.col("key").alias("_r_key"), F.col("source").alias("_source")]
+    plays = mixing.taken_words(docs).groupBy(*named).agg(F.sum("plays").alias("_plays"), F.max("part").alias("_part"))
+    plays = cut(plays.filter("_plays > 0 or _part > 0"), "plays")
     rows = _named(docs).dropDuplicates(["doc_id", "_key", "source"]).join(plays, _same() & F.col("source").eqNullSafe(F.col("_source")))
-    return rows.withColumn("_play", F.explode(F.sequence(F.lit(1), F.col("_plays").cast("int")))).select(*docs.columns)
+    # a play of the whole document, or (once a source) of the words that its target has left
+    play = F.explode(F.when(F.col("_part") > 0, F.sequence(F.lit(0), F.col("_plays").cast("int"))).otherwise(F.sequence(F.lit(1), F.col("_plays").cast("int"))))
+    rows = rows.withColumn("_play", play).withColumn("text", F.when(F.col("_play") == 0, mixing.beginning(F.col("text"), F.col("_part"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_play") == 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
