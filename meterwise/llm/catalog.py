@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (decontaminate, jaccard_join, langid, merkle, mixing, rule_ensemble, secret_links, token_store, topk, toxicity, url_rules, warc,
                whitening)
-from ._tables import crc_mod, cut, table, text_key
+from ._tables import crc_mod, table, text_key
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 TOXIC_AT, GOOD_AT = 0.7, 0.3

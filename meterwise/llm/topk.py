@@ -16,8 +16,9 @@ bounded by a few blocks; every cell returns at most k rows per query.
 Defined cases: a row with null id, null vector, or a null or non-finite
 component takes no part; a row is compared with rows of its own length only;
 rows that repeat a query's id are its own rows and no candidates; an id that
-repeats as a query uses its first vector in value order; inner products must
-fit 64 bits.  Empty tables give an empty result.
+repeats as a query uses its first vector in value order; inner products are
+compared exactly and those beyond 64 bits reported as the end of that range.
+Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from ._tables import cut
 
 BLOCK_ROWS = 32768
 QUERY_ROWS = 128
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 CELL_BLOCKS = 4
 INDEX_SCHEMA = "block long, dims int, ids binary, base binary, bits binary, slices binary"
 QUERY_SCHEMA = "block long, dims int, ids binary, vectors binary"
@@ -216,7 +218,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, cell_blocks: int = CELL
                 vectors = np.frombuffer(chunk.vectors, np.int64).reshape(len(ids), -1)
                 for i, q in zip(ids, vectors):
                     best[int(i)] = sorted(best.get(int(i), []) + block.top(int(i), q, k), key=lambda x: (-x[1], x[0]))[:k]
-        out = [(i, v, s) for i, hits in best.items() for v, s in hits]
+        out = [(i, v, min(max(s, LEAST), MOST)) for i, hits in best.items() for v, s in hits]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     hits = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(meet, HIT_SCHEMA)
