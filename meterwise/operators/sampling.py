@@ -119,6 +119,31 @@ def random_oversample(df: DataFrame, label: str = "target", id_col: str = "clien
     return df.filter(F.col(label) == maj).withColumn("copy", F.lit(0).cast("long")).unionByName(minority)
 
 
+def drawn_ranks(spark, draws: int, ranks: int, seed: int, salt: str) -> DataFrame:
+    """(draw, rank): for each draw from 1 a seeded rank in 1..ranks, with replacement."""
+    text = F.concat(F.lit(f"{seed}-{salt}-"), F.col("draw").cast("string"))
+    digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return spark.range(1, draws + 1).select(F.col("id").alias("draw")).withColumn("rank", F.pmod(digest, F.lit(max(1, ranks))) + 1)
+
+
+def random_oversample_drawn(df: DataFrame, label: str = "target", id_col: str = "client_id", seed: int = 42) -> DataFrame:
+    """R5 with replacement: every row once, and n_maj − n_c more draws from each smaller class.
+
+    Each draw names a rank in its class's seeded-hash order; draws and ranked
+    rows meet by (class, rank).  Adds ``copy`` (0 for the row itself, else the
+    number of the draw).  Any number of classes."""
+    sizes = {r[label]: r["__n_class"] for r in _class_counts(df, label).collect()}  # one row a class
+    most = max(sizes.values(), default=0)
+    out = df.withColumn("copy", F.lit(0).cast("long"))
+    ranked = hash_rank(df.filter(F.col(label).isin([c for c, n in sizes.items() if n < most])), [label], id_col, seed)
+    for c, n in sorted(sizes.items()):
+        if n < most:
+            draws = drawn_ranks(df.sparkSession, most - n, n, seed, f"draw-{c}")
+            met = ranked.filter(F.col(label) == c).join(draws, "rank").withColumn("copy", F.col("draw"))
+            out = out.unionByName(met.select(*out.columns))
+    return out
+
+
 def class_weight(df: DataFrame, label: str = "target") -> DataFrame:
     """scale_pos_weight = #negatives / #positives (one row)."""
     return df.agg(F.try_divide(F.sum((F.col(label) == 0).cast("double")),

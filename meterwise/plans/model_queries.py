@@ -14,15 +14,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import models as L
+from ..operators import persist as P
+from ..operators import profile as D
 from ..operators import sampling as R
+from ..operators import strategies as C
 from ..operators import synthetic as S
 from ..operators.client_features import starter_aggregates
-from ..operators.joins import align_by_position, left_join_on, merge_on
-from ..operators.metrics import binary_metrics, cv_metrics, mse
+from ..operators.jobs import Ledger, write_sized
+from ..operators.joins import align_by_position, align_files, left_join_on, merge_on
+from ..operators.metrics import cv_metrics, mse
 from ..operators.projections import (add_combinations, apply_threshold, cast_categoricals, combine_features,
                                      drop_columns, encode_counter_type, fill_constants, fill_zero, impute_mean,
                                      log_transform, null_to_zero_features, select_features, select_numeric)
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir, shared_path
 from ..sources import io
 from ..sources.fixtures import cte, read_base, view, views
 from . import assemble
@@ -31,10 +35,12 @@ from .registry import norm_sql, register
 
 SEED = 42
 GBT_QUERY_PARAMS = {"n_estimators": 150, "max_depth": 6, "learning_rate": 0.1}
-STARTER_PARAMS = {"n_estimators": 500, "max_depth": 6, "learning_rate": 0.1}  # the starter's learner grows 31 leaves
+STARTER_PARAMS = {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1}  # the starter's misspelt 500 leaves the default of 100; it grows 31 leaves
 SEARCH_DRAWS = 50
+CHAIN_DRAWS = 30
 SEARCH_FOLDS = 5
 BAGS = 10
+PARALLEL_FITS = 8
 
 
 def search_draws():
@@ -66,6 +72,11 @@ def _split(data):
     return s.filter(F.col("is_test") == 0).drop("is_test"), s.filter(F.col("is_test") == 1).drop("is_test")
 
 
+def _fit_rows(df, cols):
+    """Vectors of the rows, in as many files as their bytes need (every tree reads them once a level)."""
+    return write_sized(L.assemble(df, cols), shared_path(df.sparkSession, "tables", "fit-rows"))
+
+
 def _scored(model, df, threshold=0.5):
     out = L.positive_probability(model.transform(df))
     return apply_threshold(out, threshold).select("client_id", "target", "score", "prediction")
@@ -94,7 +105,7 @@ def q_fit_logistic(spark, sf_dir):
     train, test = L.standardize(train, cols, test)
     train = R.balanced_weight(train)
     total_w = train.agg(F.sum("weight")).first()[0]
-    model = L.logistic("weight", c=1.0, total_weight=total_w).fit(L.assemble(train, cols))
+    model = L.logistic("weight", c=1.0, total_weight=total_w).fit(_fit_rows(train, cols))
     return _scored(model, L.assemble(test, cols))
 
 
@@ -105,7 +116,7 @@ def q_fit_gbt(spark, sf_dir):
     cols = feature_list(data)
     train, test = _split(data)
     train = R.with_class_weight(train)
-    model = L.gbt(weight_col="weight", **GBT_QUERY_PARAMS).fit(L.assemble(train, cols))
+    model = L.gbt(weight_col="weight", **GBT_QUERY_PARAMS).fit(_fit_rows(train, cols))
     return _scored(model, L.assemble(test, cols))
 
 
@@ -117,7 +128,7 @@ def q_resampled_fit(spark, sf_dir):
     train, test = _split(data)
     est = L.ResampledEstimator(inner=L.gbt(**GBT_QUERY_PARAMS),
                                sampler=lambda d: R.random_oversample(d, seed=SEED).drop("copy"))
-    model = est.fit(L.assemble(train, cols))
+    model = est.fit(_fit_rows(train, cols))
     return _scored(model, L.assemble(test, cols))
 
 
@@ -127,8 +138,8 @@ def q_fit_bagged(spark, sf_dir):
     data = model_table(spark, sf_dir)
     cols = feature_list(data)
     train, test = _split(data)
-    bags = cut_lineage(L.assemble(R.balanced_bags(train, n_bags=BAGS, seed=SEED), cols))
-    models = L.fit_bagged(bags, lambda: L.gbt(**GBT_QUERY_PARAMS), BAGS)
+    bags = L.assemble(R.balanced_bags(train, n_bags=BAGS, seed=SEED), cols).select("target", "bag", "features")
+    models = L.fit_bagged(bags, lambda: L.gbt(**GBT_QUERY_PARAMS), BAGS, parallelism=PARALLEL_FITS)
     scores = L.score_bagged(models, L.assemble(test, cols))
     return apply_threshold(scores.join(test.select("client_id", "target"), "client_id"), 0.5)
 
@@ -145,17 +156,46 @@ def q_fit_linear(spark, sf_dir):
     return mse(model.transform(L.assemble(test, cols)), "quality_score")
 
 
-@register("random_search")
-def q_random_search(spark, sf_dir):
-    """Random search over boosted-tree parameters, F1 of class 1,
-    stratified folds; returns the F1 of every draw."""
+def _vector_rows(sampler):
+    """A sampler of rows for (client_id, target, features)."""
+    return lambda d: sampler(d).select("target", "features")
+
+
+def strategy_samplers():
+    """The strategies against imbalance; None keeps the rows (class weights act in the learner)."""
+    return {
+        "scale_pos_weight": None,
+        "RandomOverSampler": _vector_rows(lambda d: R.random_oversample_drawn(d, seed=SEED)),
+        "SMOTE": vector_sampler(lambda p: S.smote_drawn(p, seed=SEED)),
+        "ADASYN": vector_sampler(lambda p: S.adasyn(p, seed=SEED)),
+        "SMOTETomek": vector_sampler(lambda p: S.smote_tomek(p, seed=SEED)),
+    }
+
+
+def strategy_estimator(strategy, params):
+    return L.gbt(weight_col="weight" if strategy == "scale_pos_weight" else None, **params)
+
+
+def fold_store(spark, sf_dir, strategies):
+    """The fold store over the training features and its ledger; both are found again by a later run over the same rows."""
     data = model_table(spark, sf_dir)
     cols = feature_list(data)
-    d = L.assemble(R.with_class_weight(R.stratified_folds(data.drop("fold"), k=SEARCH_FOLDS, seed=SEED)), cols)
+    name = C.fingerprint(data.select("client_id", "target", "fold", *[F.round(c, 6).alias(c) for c in cols]))
+    rows = L.assemble(R.with_class_weight(data), cols).select("client_id", "target", "weight", "fold", "features")
+    folder = os.path.join(ensure_checkpoint_dir(spark), "strategies", name)
+    kept = write_sized(rows, os.path.join(folder, "rows"))
+    samplers = {k: v for k, v in strategy_samplers().items() if k in strategies}
+    return C.FoldStore(kept, samplers, folder), Ledger(spark, os.path.join(folder, "ledger")), cols
+
+
+@register("random_search")
+def q_random_search(spark, sf_dir):
+    """Random search over boosted-tree parameters, over-sampling
+    inside each stratified fold, F1 of class 1; returns the F1 of every draw."""
+    store, ledger, _ = fold_store(spark, sf_dir, ["RandomOverSampler"])
     draws = search_draws()
-    est = L.gbt(weight_col="weight")
-    cvm = L.random_search(d, est, draws)
-    rows = [(i, float(m), str(sorted(dr.items()))) for i, (m, dr) in enumerate(zip(cvm.avgMetrics, draws))]
+    found = C.search(store, draws, strategy_estimator, parallelism=PARALLEL_FITS, ledger=ledger)["RandomOverSampler"]
+    rows = [(i, f, str(sorted(d.items()))) for i, (f, d) in enumerate(zip(found, draws))]
     return spark.createDataFrame(rows, "draw int, mean_f1 double, params string")
 
 
@@ -165,7 +205,7 @@ def q_cross_validate(spark, sf_dir):
     and population std per metric."""
     data = model_table(spark, sf_dir)
     cols = feature_list(data)
-    d = L.assemble(R.with_class_weight(data), cols)
+    d = L.assemble(R.with_class_weight(data), cols).select("client_id", "target", "weight", "fold", "features")
     scored = cut_lineage(L.cross_validated_scores(d, L.gbt(weight_col="weight", **GBT_QUERY_PARAMS)))
     return cv_metrics(L.fold_metrics(scored))
 
@@ -180,7 +220,7 @@ def q_score_test(spark, sf_dir):
     tables = assemble.invoice_tables(invoice)
     test = null_to_zero_features(assemble.transfer_rates(assemble.features_test(client, invoice, tables),
                                                          assemble.features_train(client, invoice, tables)))
-    model = L.gbt(weight_col="weight", **GBT_QUERY_PARAMS).fit(L.assemble(R.with_class_weight(train), cols))
+    model = L.gbt(weight_col="weight", **GBT_QUERY_PARAMS).fit(_fit_rows(R.with_class_weight(train), cols))
     scored = L.positive_probability(model.transform(L.assemble(test.select("client_id", *cols), cols)))
     return scored.select("client_id", F.col("score").alias("target"))
 
@@ -253,25 +293,38 @@ def vector_sampler(method):
 
 @register("compare_strategies")
 def q_compare_strategies(spark, sf_dir):
-    """One model per imbalance strategy, hold-out metrics per strategy."""
-    data = model_table(spark, sf_dir)
-    cols = feature_list(data)
-    train, test = _split(data)
-    tv = L.assemble(test, cols)
-    strategies = {
-        "scale_pos_weight": (lambda d: L.assemble(R.with_class_weight(d), cols), "weight"),
-        "RandomOverSampler": (lambda d: L.assemble(R.random_oversample(d, seed=SEED).drop("copy"), cols), None),
-        "SMOTE": (lambda d: vector_sampler(lambda p: S.smote(p, seed=SEED))(L.assemble(d, cols)), None),
-        "ADASYN": (lambda d: vector_sampler(lambda p: S.adasyn(p, seed=SEED))(L.assemble(d, cols)), None),
-        "SMOTETomek": (lambda d: vector_sampler(lambda p: S.smote_tomek(p, seed=SEED))(L.assemble(d, cols)), None),
-        "none": (lambda d: L.assemble(d, cols), None),
-    }
-    out = None
-    for name, (prep, wcol) in strategies.items():
-        model = L.gbt(weight_col=wcol, **GBT_QUERY_PARAMS).fit(prep(train))
-        m = binary_metrics(_scored(model, tv)).withColumn("strategy", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """For each imbalance strategy search, cross-validated metrics, threshold and submission file."""
+    store, ledger, cols = fold_store(spark, sf_dir, list(strategy_samplers()))
+    client, invoice = views(spark, sf_dir, "client", "invoice")
+    tables = assemble.invoice_tables(invoice)
+    test = assemble.transfer_rates(assemble.features_test(client, invoice, tables), assemble.features_train(client, invoice, tables))
+    test = null_to_zero_features(add_combinations(test))
+    vectors = cut_lineage(L.assemble(test.select("client_id", *cols), cols).select("client_id", "features"), "test-vectors")
+    return C.compare(store, L.draw_params(CHAIN_DRAWS, seed=SEED), strategy_estimator, vectors, os.path.join(store.folder, "chain"),
+                     parallelism=PARALLEL_FITS, ledger=ledger)
+
+
+HARVEST_NUMBERS = ["quakers", "altitude_low_meters", "altitude_high_meters", "altitude_mean_meters"]
+
+
+@register("predict_saved")
+def q_predict_saved(spark, sf_dir):
+    """A pipeline of null filling, combined column, scaling and regression is
+    fitted, saved, loaded, and scores a held-out file; its predictions beside
+    those of the pipeline that was never saved."""
+    h = view(spark, sf_dir, "harvest").withColumnRenamed("row_id", "client_id")
+    parts = R.random_split(h, test_size=0.2, seed=SEED)
+    train, held = parts.filter("is_test = 0").drop("is_test"), parts.filter("is_test = 1").drop("is_test")
+    features = [*HARVEST_NUMBERS, "altitude_range"]
+    stages = [P.MeanFill(columns=HARVEST_NUMBERS), P.Combinations(specs=[["altitude_range", "altitude_high_meters", "-", "altitude_low_meters"]]),
+              P.NullFill(columns=features), P.Standardizer(columns=features), L.assembler(features), L.linear("quality_score")]
+    model = L.pipeline(stages).fit(train)
+    again = L.load_pipeline(L.save_model(model, shared_path(spark, "models", "harvest")))
+    file = io.write_one_csv(held.select("client_id", *HARVEST_NUMBERS, "quality_score"), os.path.join(io.scratch_dir(spark, "held-out"), "held.csv"), ["client_id"])
+    schema = "client_id long, " + ", ".join(f"{c} double" for c in [*HARVEST_NUMBERS, "quality_score"])
+    rows = io.read_table(spark, file, schema, fmt="csv")
+    fresh = model.transform(held).select("client_id", F.col("prediction").alias("fresh"))
+    return again.transform(rows).select("client_id", "quality_score", "prediction").join(fresh, "client_id")
 
 
 @register("starter_pipeline")
@@ -282,7 +335,7 @@ def q_starter_pipeline(spark, sf_dir):
     base = cast_categoricals(client).join(starter_aggregates(invoice), "client_id", "left")
     data = fill_zero(drop_columns(base, "creation_date"))
     cols = [c for c in data.columns if c not in ("client_id", "target")]
-    model = L.gbt(**STARTER_PARAMS).fit(L.assemble(data, cols))
+    model = L.gbt(**STARTER_PARAMS).fit(_fit_rows(data, cols))
     pred = model.transform(L.assemble(data.drop("target"), cols))
     return pred.select("client_id", F.col("prediction").cast("int").alias("target"))
 
@@ -319,7 +372,7 @@ def q_extract_target(spark, sf_dir):
                                          "client_id:i, target:f"))
 def q_export_predictions(spark, sf_dir):
     """Chosen prediction columns written as CSV and read back."""
-    folder = io.scratch_dir(spark, "predictions")
+    folder = os.path.join(io.scratch_dir(spark, "predictions"), "predictions.csv")
     io.export_predictions(view(spark, sf_dir, "scored").drop("target").withColumnRenamed("score", "target"), folder)
     return io.read_table(spark, folder, "client_id long, target double", fmt="csv")
 
@@ -476,6 +529,41 @@ def q_transfer_rates(spark, sf_dir):
     return merge_on(client.select("client_id", "disrict"), rates, "disrict", "rate")
 
 
+@register("align_files", norm_sql(cte("harvest") + "SELECT row_number() OVER (ORDER BY row_id) AS row_pos, row_id, quakers, quality_score FROM harvest",
+                                  "row_pos:i, row_id:i, quakers:f, quality_score:f"))
+def q_align_files(spark, sf_dir):
+    """A file of features and a file of ratings without a common column, paired row by row."""
+    h = view(spark, sf_dir, "harvest")
+    folder = io.scratch_dir(spark, "pair")
+    x = io.write_one_csv(h.select("row_id", "quakers"), os.path.join(folder, "x.csv"), ["row_id"])
+    ordered = h.repartitionByRange(3, "row_id").sortWithinPartitions("row_id").select("quality_score")
+    y = io.write_csv(ordered, os.path.join(folder, "y"))
+    read = spark.read.option("header", True)
+    return align_files(read.schema("row_id long, quakers double").csv(x), read.schema("quality_score double").csv(y))
+
+
+@register("fetch_csv", norm_sql(cte("client") + "SELECT client_id, region, target FROM client", "client_id:i, region:i, target:i"))
+def q_fetch_csv(spark, sf_dir):
+    """A CSV behind a URL, fetched once into the shared folder and read from there."""
+    path = io.write_one_csv(view(spark, sf_dir, "client").select("client_id", "region", "target"),
+                            os.path.join(io.scratch_dir(spark, "web"), "client.csv"), ["client_id"])
+    return io.read_table(spark, io.fetch_once(spark, f"file://{path}"), "client_id long, region int, target int", fmt="csv")
+
+
+@register("distinct_sketches", norm_sql(cte("invoice") + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, true AS within FROM invoice" for c in ("client_id", "counter_number", "tarif_type", "invoice_date")),
+    "column:s, n_distinct:i, within:b"))
+def q_distinct_sketches(spark, sf_dir):
+    """Distinct counts from mergeable sketches of each region's invoices, and whether they are within the error bound of the exact ones."""
+    columns = ["client_id", "counter_number", "tarif_type", "invoice_date"]
+    invoice = view(spark, sf_dir, "invoice").select(*columns)
+    kept = cut_lineage(D.distinct_sketches(invoice, ["tarif_type"], [c for c in columns if c != "tarif_type"]), "sketches")
+    tarif = D.distinct_sketches(invoice, columns=["tarif_type"])
+    near = D.distinct_from_sketches(kept.select("column", "sketch").unionByName(tarif)).withColumnRenamed("n_distinct", "near")
+    both = D.distinct_report(invoice).join(near, "column")
+    return both.select("column", "n_distinct", (F.abs(F.col("near") - F.col("n_distinct")) <= D.sketch_error() * F.col("n_distinct") + 1).alias("within"))
+
+
 @register("align_by_position", norm_sql(cte("harvest") + """SELECT a.row_pos, a.row_id, a.quakers, b.quality_score FROM
   (SELECT row_number() OVER (ORDER BY row_id) AS row_pos, row_id, quakers FROM harvest) a JOIN
   (SELECT row_number() OVER (ORDER BY row_id) AS row_pos, quality_score FROM harvest) b ON a.row_pos = b.row_pos""",

@@ -84,6 +84,18 @@ def q_random_oversample(spark, sf_dir):
     return R.random_oversample(_client(spark, sf_dir), seed=SEED)
 
 
+@register("oversample_drawn", norm_sql(cte("client") + f"""
+, c AS (SELECT target, count(*) AS n, max(count(*)) OVER () AS n_maj FROM client GROUP BY target),
+r AS (SELECT client_id, target, {RANK_BY_CLASS} AS rk FROM client),
+d AS (SELECT target, n, unnest(range(1, n_maj - n + 1)) AS draw FROM c WHERE n < n_maj),
+k AS (SELECT target, draw, CAST('0x' || substr(md5(concat('{SEED}-draw-', CAST(target AS VARCHAR), '-', CAST(draw AS VARCHAR))), 1, 15) AS BIGINT) % n + 1 AS rk FROM d)
+SELECT client_id, target, 0 AS "copy" FROM client UNION ALL
+SELECT r.client_id, r.target, k.draw FROM r JOIN k ON r.target = k.target AND r.rk = k.rk""", "client_id:i, target:i, copy:i"))
+def q_oversample_drawn(spark, sf_dir):
+    """Over-sampling by draws with replacement to the majority count."""
+    return R.random_oversample_drawn(_client(spark, sf_dir), seed=SEED)
+
+
 @register("class_weight", norm_sql(cte("client") + """
 SELECT CAST(sum(CASE WHEN target = 0 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN target = 1 THEN 1 ELSE 0 END), 0)
   AS scale_pos_weight FROM client""", "scale_pos_weight:f"))
