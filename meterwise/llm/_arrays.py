@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _SYMBOLS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -41,7 +42,33 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         hi = min(hi, n)
         yield lo, hi, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         lo = hi
-    pa.default_memory_pool().release_unused()  # Python workers stay for later stages
+    give_back()  # Python workers stay for later stages
+
+
+#: what an operator keeps in a Python worker between its tasks, by operator
+KEPT: dict[str, dict] = {}
+
+
+def keep_only(name: str = "") -> None:
+    """At the start of a task: what other operators keep in this worker goes."""
+    others = [k for k in KEPT if k != name and KEPT[k]]
+    for k in others:
+        KEPT[k].clear()
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 
 
 def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import NON_BLANK, Hasher, U, mix, signed, slices, words
+from ._arrays import NON_BLANK, Hasher, U, give_back, keep_only, mix, signed, slices, words
 from ._tables import cut, cut_with, text_key
 
 WORDS, PERCENT = 5, 80
@@ -99,6 +99,7 @@ def nodes_of(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 def _sets(batches, n: int, once: bool) -> Iterator[tuple]:
     """(batch, first row, rows, set values, edges, node names, fresh) of each slice; fresh: first time in this task."""
+    keep_only()
     seen: set[int] = set()
     for batch in batches:
         for lo, hi, data, off in slices(batch.column(0)):
@@ -220,6 +221,8 @@ class Bloom:
                 .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
         bits = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
         bits[rows.w.to_numpy(np.int64)] = rows.b.to_numpy(np.int64).view(np.uint64)
+        del rows
+        give_back()
         return cls(bits)
 
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrays import Hasher, slices
+from ._arrays import KEPT, Hasher, keep_only, slices
 from ._tables import cut, join_path, open_store, shared_folder, text_key
 
 CHUNK = 8
@@ -295,11 +295,12 @@ class Encoder:
         return ids, np.bincount(row, weights=size, minlength=rows).astype(np.int64)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = KEPT.setdefault("tokens", {})
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a Python worker: later tasks find its pieces."""
+    """One encoder a Python worker: later tasks find its pieces, until another operator takes the worker."""
+    keep_only("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrays import ALNUM, Hasher, U, mix, signed, slices, words
+from ._arrays import ALNUM, Hasher, U, give_back, keep_only, mix, signed, slices, words
 from ._tables import crc_mod, cut
 
 PREFIXES = (4, 5, 6)
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = sorted(rows.values(), key=lambda r: r[0])
     small.destroy()
     del found, counts, columns
-    pa.default_memory_pool().release_unused()
+    give_back()
     return build(vocabulary, idf, rows, totals, max_examples)
 
 
@@ -331,6 +331,7 @@ def score(df: DataFrame, text_col: str, model: Model | None, prefix: str = "", k
     first = 0 if keep_text else 1
 
     def run(batches):
+        keep_only()
         m = shared.value
         for batch in batches:
             for lo, hi, data, off in slices(batch.column(0)):
