@@ -139,7 +139,7 @@ def q_fit_bagged(spark, sf_dir):
     cols = feature_list(data)
     train, test = _split(data)
     bags = L.assemble(R.balanced_bags(train, n_bags=BAGS, seed=SEED), cols).select("target", "bag", "features")
-    models = L.fit_bagged(bags, lambda: L.gbt(**GBT_QUERY_PARAMS), BAGS, parallelism=PARALLEL_FITS)
+    models = L.fit_bagged(bags, lambda: L.gbt(**GBT_QUERY_PARAMS), BAGS, parallelism=BAGS)
     scores = L.score_bagged(models, L.assemble(test, cols))
     return apply_threshold(scores.join(test.select("client_id", "target"), "client_id"), 0.5)
 
