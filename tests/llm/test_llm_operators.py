@@ -370,6 +370,33 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.marked(make_docs(spark, rows), bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_long_texts_and_shared_windows(spark):
+    rng = random.Random(5)
+    phrase = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    items = [(1, phrase), (2, "zero " + phrase + " fifteen"), (3, "SEVEN Eight"), (4, "ÉTÉ two")]
+    filler = [rng.choice(["lorem", "ipsum", "two", "eight", "été"]) for _ in range(40_000)]
+    step = decontaminate.STRETCH
+    for at in (step - 5, 2 * step, 3 * step - 14, len(filler) - 14):  # across, at and before a stretch's edge, at the end
+        filler[at:at + 14] = phrase.upper().split()
+    rows = [(1, " ".join(filler), "", ""), (2, "," + phrase + ",", "", ""), (3, "seven-eight", "", ""), (4, "été two", "", ""), (5, "  ", "", "")]
+    rows += [(2, rows[1][1], "", "")] * 3
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.marked(make_docs(spark, rows), bench).collect()
+    assert sorted((r.id, r.n_words, r.n_hit, list(r["items"])) for r in got) == sorted((i, *brute_hits(t, items)) for i, t, *_ in rows)
+    windows = decontaminate.item_windows(decontaminate.benchmark_items(bench))
+    assert windows.select("win").distinct().count() == 6 and windows.count() == 8  # two windows belong to both items
+
+
+def test_decontamination_index_holds_rare_terms_only(spark):
+    texts = ["the common words " * 50 + f"rare{k} end" for k in range(6)]
+    docs = make_docs(spark, [(k, t, "", "") for k, t in enumerate(texts)])
+    bench = spark.createDataFrame([(1, "the common words the common words rare3 end")], "item_id long, text string")
+    windows = decontaminate.item_windows(decontaminate.benchmark_items(bench))
+    index, found = decontaminate._aligned(docs, windows, "doc_id", "text", 2, 0)
+    assert index.filter("tid is not null and pos > 0").count() == 7  # rare3 once, end six times
+    assert index.filter("pos = 0").count() == 6 and [(r.id, r.pos) for r in found.collect()] == [(3, 144)]
+
+
 def test_proximity_matches(spark):
     item = [(1, "alpha beta gamma delta")]
     bench = spark.createDataFrame(item, "item_id long, text string")
