@@ -30,6 +30,7 @@ from ._tables import cut, text_key
 
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
 WIDTH, RANKS, STRETCH = 13, 3, 8192
+BROADCAST = 1_000_000  # terms (8 bytes each) up to which every task gets them; beyond, terms are met in a shuffle
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -58,9 +59,11 @@ def _tokens(text: Column) -> Column:
 
 
 def frequencies(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """df: how often each of the ``terms`` (tid) occurs in all texts."""
+    """df: how often each of the ``terms`` (tid) occurs in all texts; no term's rows meet in one task uncounted."""
     tokens = docs.select(F.explode(_tokens(F.col(text_col))).alias("term")).select(F.xxhash64("term").alias("tid"))
-    return tokens.join(terms, "tid").groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    if terms.count() <= BROADCAST:
+        return tokens.join(F.broadcast(terms), "tid").groupBy("tid").agg(F.count(F.lit(1)).alias("df"))
+    return tokens.groupBy("tid").agg(F.count(F.lit(1)).alias("df")).join(terms, "tid", "left_semi")
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
@@ -72,6 +75,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -
     empty = F.when(F.element_at("t", 1) == "", 1).otherwise(0) + F.when((F.size("t") > 1) & (F.element_at("t", -1) == ""), 1).otherwise(0)
     tokens = entries.select("id", "key", (F.size("t") - empty).cast("long").alias("n"), F.posexplode("t").alias("pos", "term"))
     tokens = tokens.select("id", "key", "n", "pos", F.xxhash64("term").alias("at"))
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST else terms
     return tokens.join(terms, F.col("at") == F.col("tid"), "left").filter("tid is not null or pos = 0").select("tid", "id", "key", "pos", "n")
 
 
@@ -79,7 +83,7 @@ def _aligned(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, ra
     """The index, and the places (id, key, win, len, pos, exact) where all the rarest terms of a window meet."""
     slots = windows.select("win", "len", "phrase").distinct().select("win", "len", F.posexplode("phrase").alias("q", "word"))
     slots = cut(slots.select("win", "len", "q", F.xxhash64(F.lower("word")).alias("tid")), "bench-slots")
-    frequency = cut(frequencies(docs, text_col, slots.select("tid").distinct()), "frequencies")
+    frequency = cut(frequencies(docs, text_col, cut(slots.select("tid").distinct(), "bench-terms")), "frequencies")
     order = Window.partitionBy("win").orderBy(F.col("df").asc_nulls_first(), "q")
     ranked = cut(slots.join(frequency, "tid", "left").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ranks)
                  .groupBy("win", "len").agg(

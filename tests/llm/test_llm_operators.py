@@ -387,6 +387,14 @@ def test_decontamination_of_long_texts_and_shared_windows(spark):
     assert windows.select("win").distinct().count() == 6 and windows.count() == 8  # two windows belong to both items
 
 
+def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
+    items = [(1, "one two three four"), (2, "solo")]
+    rows = [(1, "a one two three four solo", "", ""), (2, "Solo solo", "", ""), (3, None, "", ""), (4, "one two three", "", "")]
+    got = decontaminate.marked(make_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.id, r.n_words, r.n_hit, list(r["items"])) for r in got) == [(i, *brute_hits(t, items)) for i, t, *_ in rows]
+
+
 def test_decontamination_index_holds_rare_terms_only(spark):
     texts = ["the common words " * 50 + f"rare{k} end" for k in range(6)]
     docs = make_docs(spark, [(k, t, "", "") for k, t in enumerate(texts)])
