@@ -69,6 +69,9 @@ VIEW_INPUTS = {
     "harvest": ("part",),
 }
 
+# The column by which the rows of a view lie together.
+VIEW_KEYS = {"client": "client_id", "invoice": "client_id", "scored": "client_id", "harvest": "row_id"}
+
 
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -100,10 +103,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     path = _MATERIALIZED.get(key)
     if path is None:
-        # as many files as task slots, so scans of the input use every core
-        # (tables on a cluster already come split into many files)
-        plan = view_plan(spark, sf_dir, name).repartition(spark.sparkContext.defaultParallelism)
-        df = cut_lineage(plan, f"input-{name}")
+        # rows of a client lie together, so that aggregates by client collapse inside the map tasks; files by
+        # bytes, no fewer than task slots where there are rows for them, and a client with many rows gets several
+        df = cut_lineage(view_plan(spark, sf_dir, name).hint("rebalance", VIEW_KEYS[name]), f"input-{name}")
         _MATERIALIZED[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
         return df
     return spark.read.parquet(path)

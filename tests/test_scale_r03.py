@@ -1,0 +1,12 @@
+"""Growth of the work: layout of inputs, blocks instead of pair joins."""
+
+from pyspark.sql import functions as F
+
+from meterwise.sources.fixtures import view
+
+
+def test_invoices_of_a_client_lie_together(spark):
+    """Aggregates by client collapse inside a map task only if its rows do not lie in all files."""
+    invoice = view(spark, "/root/testdata/sf0.01", "invoice").withColumn("file", F.input_file_name())
+    assert invoice.select("file").distinct().count() > 1
+    assert invoice.groupBy("client_id").agg(F.count_distinct("file").alias("n")).agg(F.max("n")).first()[0] == 1
