@@ -10,3 +10,23 @@ def test_invoices_of_a_client_lie_together(spark):
     invoice = view(spark, "/root/testdata/sf0.01", "invoice").withColumn("file", F.input_file_name())
     assert invoice.select("file").distinct().count() > 1
     assert invoice.groupBy("client_id").agg(F.count_distinct("file").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_boxes_share_one_index_and_pass_over_points_without_distance(spark, monkeypatch):
+    import math
+    import random
+
+    from meterwise.operators import neighbors
+    monkeypatch.setattr(neighbors, "CELL", 32)
+    rnd = random.Random(2)
+    ref = [(i, [rnd.gauss(0, 100), rnd.gauss(0, 1), float(i % 3)]) for i in range(300)]
+    odd = [(900, [float("nan"), 0.0, 0.0]), (901, [0.0, None, 0.0])]
+    r = spark.createDataFrame(ref + odd, "rid long, vec array<double>")
+    index = neighbors.reference(r, 3)
+    assert len(index.box) >= 5
+    for queries in (ref[::7], ref[:5]):
+        q = spark.createDataFrame(queries, "qid long, vec array<double>")
+        got = {}
+        for x in neighbors.knn(index, q, 3).orderBy("nn_rank").collect():
+            got.setdefault(x.qid, []).append(x.rid)
+        assert got == {i: [n for _, n in sorted((math.dist(v, w), n) for n, w in ref if n != i)[:3]] for i, v in queries}
