@@ -7,7 +7,7 @@ driver loop and never one feature per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import rank_before
@@ -89,6 +89,7 @@ def feature_names(filtered: DataFrame) -> list[str]:
 # 1e-10 · max(1, mean |x|) standard deviations added after scaling by the std.
 KNN_NEIGHBOURS = 3
 KNN_NOISE = 1e-10
+RUN = 1 << 16  # ranks in one window
 
 
 def _hash_normal(seed: int, *cols):
@@ -122,7 +123,7 @@ def knn_point_stats(df: DataFrame, target: str = "target", features: list[str] |
     * r_i: distance to the k-th nearest point of the same label, k_i =
       min(k, N_y − 1); labels with one point are left out.  In one
       dimension the k nearest lie among the k predecessors and k successors
-      in sorted order, found by an equi-join on rank ± 1..k (ranks are
+      in sorted order, read by windows over runs of RUN ranks (ranks are
       distributed running counts, never a per-label window).
     * m_i: points of any label with |x_j − x_i| < r_i (equal values when
       r_i = 0), i included: events at x_i ± r_i are merged into the sorted
@@ -141,20 +142,20 @@ def knn_point_stats(df: DataFrame, target: str = "target", features: list[str] |
     from ..functions.prefix import running_sums
     ranked = running_sums(pts, ["feature", "y"], ["x", "id"], ["one"], prefix="rk_").withColumnRenamed("rk_one", "rk")
     ranked = cut_lineage(ranked, "knn-ranked")
-    offsets = [o for j in range(1, k + 1) for o in (j, -j)]
-    asks = ranked.select("feature", "y", "id", "x", "k_i", "rk",
-                         F.explode(F.array(*[F.lit(o) for o in offsets])).alias("off")) \
-        .withColumn("nrk", F.col("rk") + F.col("off"))
-    nb = ranked.select("feature", "y", F.col("rk").alias("nrk"), F.col("x").alias("nx"))
-    # the ≤ 2k candidates are pivoted by offset with plain max(when(..))
-    # aggregates (no collect_list object aggregate), then sorted per row
-    cand = asks.join(nb, ["feature", "y", "nrk"]).withColumn(
-        "c", F.struct(F.abs(F.col("nx") - F.col("x")).alias("d"), F.col("nx").alias("nx")))
-    dist = (cand.groupBy("feature", "id", "x", "y", "k_i")
-            .agg(*[F.max(F.when(F.col("off") == o, F.col("c"))).alias(f"c{i}") for i, o in enumerate(offsets)])
-            .select("feature", "id", "x", "y", "k_i",
-                    F.array_sort(F.filter(F.array(*[F.col(f"c{i}") for i in range(len(offsets))]),
-                                          lambda c: c.isNotNull())).alias("ds")))
+    # the k rows before and after each row, by windows over runs of ranks; the k rows at
+    # either end of a run go to the next run too, so no row is joined to its neighbours
+    size = max(RUN, k)
+    run, off = F.floor((F.col("rk") - 1) / size), F.pmod(F.col("rk") - 1, F.lit(size))
+    places = F.array(F.struct(run.alias("run"), F.lit(False).alias("guest")),
+                     F.when((off < k) & (run > 0), F.struct((run - 1).alias("run"), F.lit(True).alias("guest"))),
+                     F.when(off >= size - k, F.struct((run + 1).alias("run"), F.lit(True).alias("guest"))))
+    runs = ranked.select("feature", "y", "id", "x", "k_i", "rk", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")) \
+        .select("feature", "y", "id", "x", "k_i", "rk", "p.run", "p.guest")
+    w = Window.partitionBy("feature", "y", "run").orderBy("rk")
+    nears = [f("x", j).over(w) for j in range(1, k + 1) for f in (F.lag, F.lead)]
+    cand = runs.select("feature", "id", "x", "y", "k_i", "guest", F.array(*nears).alias("nears")).filter(~F.col("guest"))
+    dist = cand.select("feature", "id", "x", "y", "k_i", F.array_sort(F.transform(
+        F.filter("nears", lambda n: n.isNotNull()), lambda n: F.struct(F.abs(n - F.col("x")).alias("d"), n.alias("nx")))).alias("ds"))
     kth = F.element_at("ds", F.col("k_i").cast("int"))
     # read three times below (two event sides and the final join): written once
     radius = cut_lineage(dist.select("feature", "id", "x", "y", "k_i", kth["d"].alias("r"), kth["nx"].alias("nx")),

@@ -30,3 +30,13 @@ def test_boxes_share_one_index_and_pass_over_points_without_distance(spark, monk
         for x in neighbors.knn(index, q, 3).orderBy("nn_rank").collect():
             got.setdefault(x.qid, []).append(x.rid)
         assert got == {i: [n for _, n in sorted((math.dist(v, w), n) for n, w in ref if n != i)[:3]] for i, v in queries}
+
+
+def test_mi_knn_over_short_runs(spark, monkeypatch):
+    """Neighbours on the other side of the end of a run count, and the score does not depend on the runs."""
+    from meterwise.operators import selection
+    rows = [(i, int(i % 4 == 0), float((i * 37) % 101), float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "client_id long, target int, a double, b double")
+    whole = {r.Feature: round(r.MI_Score, 9) for r in selection.mi_knn(df).collect()}
+    monkeypatch.setattr(selection, "RUN", 4)
+    assert {r.Feature: round(r.MI_Score, 9) for r in selection.mi_knn(df).collect()} == whole
