@@ -40,3 +40,12 @@ def test_mi_knn_over_short_runs(spark, monkeypatch):
     whole = {r.Feature: round(r.MI_Score, 9) for r in selection.mi_knn(df).collect()}
     monkeypatch.setattr(selection, "RUN", 4)
     assert {r.Feature: round(r.MI_Score, 9) for r in selection.mi_knn(df).collect()} == whole
+
+
+def test_medium_tables_get_a_file_for_each_slot(spark, tmp_path):
+    """Below 32 MB a table was one file, so each pass of every tree over it ran on one core."""
+    from meterwise.operators.jobs import write_sized
+    rows = spark.range(600_000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"))
+    kept = write_sized(rows, str(tmp_path / "rows"))
+    assert 2 <= len(kept.inputFiles()) <= max(2, spark.sparkContext.defaultParallelism)
+    assert kept.count() == 600_000 and len(write_sized(spark.range(100), str(tmp_path / "few")).inputFiles()) == 1
