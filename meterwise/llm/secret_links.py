@@ -45,13 +45,15 @@ KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 BASE = KINDS[:3]
 
 
-def _found(text: Column, kind: int, pattern: str, keep) -> Column:
-    """array<struct<kind, i, gap, len, keep>>: matches with the length of the text before each."""
+def _found(text: Column, order: int, kind: int, pattern: str, keep, needs: str = "") -> Column:
+    """array<struct<list, kind, i, gap, len, keep>>: matches with the length of the text before each.
+
+    ``needs`` is a piece that every match holds: texts without it are not decoded."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     one = F.transform(matches, lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("len"), keep(m).alias("keep")))
-    return F.when(text.rlike(pattern), one)
+        F.lit(order).alias("list"), F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("len"), keep(m).alias("keep")))
+    return F.when((F.contains(text, F.lit(needs)) & text.rlike(pattern)) if needs else text.rlike(pattern), one)
 
 
 def _assigned(text: Column) -> Column:
@@ -62,7 +64,7 @@ def _assigned(text: Column) -> Column:
 
     def one(m: Column, i: Column) -> Column:
         n = F.length(F.get(values, i))
-        return F.struct(F.when(n >= 8, F.lit(0)).otherwise(F.lit(4)).alias("kind"), i.alias("i"),
+        return F.struct(F.lit(0).alias("list"), F.when(n >= 8, F.lit(0)).otherwise(F.lit(4)).alias("kind"), i.alias("i"),
                         F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("len"), (n >= 4).alias("keep"))
     return F.when(text.rlike(ASSIGN), F.transform(matches, one))
 
@@ -77,22 +79,20 @@ def parts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def mixed(m: Column) -> Column:
         return m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]") & ~m.rlike(ACCESS)
 
-    lists = [_assigned(t), _found(t, 1, ACCESS, yes), _found(t, 2, HEX, yes), _found(t, 3, WEAK_ID, yes),
-             _found(t, 4, WEAK_SECRET, mixed), _found(t, 5, ENDPOINT, yes)]
+    lists = [_assigned(t), _found(t, 1, 1, ACCESS, yes, "AKIA"), _found(t, 2, 2, HEX, yes), _found(t, 3, 3, WEAK_ID, yes),
+             _found(t, 4, 4, WEAK_SECRET, mixed), _found(t, 5, 5, ENDPOINT, yes, "://")]
     rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"),
                      *[x.alias(f"l{g}") for g, x in enumerate(lists)])
     some = F.lit(False)
     for g in range(len(lists)):
-        some = some | F.coalesce(F.size(f"l{g}") > 0, F.lit(False))
-    rows = cut(rows.filter(some), "secret-matches")  # lengths only, no text
-    rows = rows.groupBy("id", "key").agg(*[F.first(f"l{g}").alias(f"l{g}") for g in range(len(lists))])
-    flat = None
-    for g in range(len(lists)):
-        x = (rows.filter(F.col(f"l{g}").isNotNull()).select("id", "key", F.lit(g).alias("list"), F.explode(f"l{g}").alias("s"))
-             .select("id", "key", "list", "s.*"))
-        flat = x if flat is None else flat.unionByName(x)
+        some = some | F.col(f"l{g}").isNotNull()
+    none = F.array().cast("array<struct<list:int,kind:int,i:int,gap:int,len:int,keep:boolean>>")
+    # lengths only, no text; the lists go through one shuffle together, equal rows once
+    rows = (rows.filter(some).select("id", "key", F.concat(*[F.coalesce(f"l{g}", none) for g in range(len(lists))]).alias("found"))
+            .groupBy("id", "key").agg(F.first("found").alias("found")))
     w = Window.partitionBy("id", "key", "list").orderBy("i")
-    return (flat.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(w).cast("long"))
+    return (rows.select("id", "key", F.explode("found").alias("s")).select("id", "key", "s.*")
+            .withColumn("end", F.sum(F.col("gap") + F.col("len")).over(w).cast("long"))
             .filter("keep")
             .select("id", "key", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1).alias("kind"),
                     (F.col("end") - F.col("len")).alias("start"), "end"))
