@@ -289,20 +289,26 @@ def _keys(docs: DataFrame, hot: np.ndarray, n: int, percent: int, wanted: Bloom
     return docs.select("text").mapInArrow(run, "key long, node long, size int")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, sketches: bool) -> DataFrame:
-    """(node, size, data): the set, or its parity sketch, of the wanted nodes (and of a few others)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(wanted))
+def _whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, sketches: bool) -> DataFrame:
+    """(node, size, data): the set, or its parity sketch, of the wanted nodes (and of a few others).
+
+    One text stands for each node, by its key; other texts are not cut into shingles again."""
+    named = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(Bloom.of(named, "key"))
+
+    def chosen(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.marks(batch.column(1).to_numpy().view(np.uint64))))
 
     def run(batches):
-        bloom = shared.value
-        for _, _, _, x, edge, names, fresh in _sets(batches, n, True):
-            at = [i for i in np.flatnonzero(fresh) if names[i] in bloom]
+        for _, _, _, x, edge, names, fresh in _sets(chosen(batches), n, True):
+            at = np.flatnonzero(fresh)
             data = [(sketch(x[edge[i]:edge[i + 1]]) if sketches else x[edge[i]:edge[i + 1]]).tobytes() for i in at]
             yield pa.RecordBatch.from_arrays([pa.array(signed(names[at])), pa.array(np.diff(edge)[at].astype(np.int32)), pa.array(data, pa.binary())],
                                              names=["node", "size", "data"])
 
-    rows = docs.select("text").mapInArrow(run, "node long, size int, data binary")
-    return rows.groupBy("node").agg(F.first("size").alias("size"), F.first("data").alias("data"))
+    found = docs.select("text", "key").mapInArrow(run, "node long, size int, data binary")
+    return found.groupBy("node").agg(F.first("size").alias("size"), F.first("data").alias("data"))
 
 
 def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -426,7 +432,7 @@ def components(links: DataFrame) -> DataFrame:
                 .filter("a <> b").distinct())
 
     mark = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
-    edges = cut(links.filter("a <> b").distinct(), "links")
+    edges = links.filter("a <> b").distinct()  # the callers' links are a table already
     before = None
     while True:
         edges, now = cut_with(star(star(edges, True), False), "stars", **mark)
@@ -436,15 +442,15 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def linked_nodes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(node, comp) of every node that is linked with another."""
+def linked_nodes(docs: DataFrame, scanned: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(node, comp) of every node that is linked with another; ``scanned`` has the node of every text's key."""
     ends = _keys(docs, hot, n, percent).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = cut(ends.filter("lo <> hi").select("key"), "shared-keys")
     keyed = _keys(docs, hot, n, percent, Bloom.of(shared, "key")).join(shared, "key", "left_semi")
     live = cut(keyed.distinct(), "live-keys")
     counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     live = live.join(counts, "key")
-    sketches = cut(_whole_sets(docs, live.select("node"), n, True), "sketches")
+    sketches = cut(_whole_sets(docs, scanned, live.select("node").distinct(), n, True), "sketches")
     few = live.filter(F.col("n") <= SMALL).select("key", "node", "size")
     other = few.select("key", F.col("node").alias("b"), F.col("size").alias("sb"))
     pairs = (few.select("key", F.col("node").alias("a"), F.col("size").alias("sa")).join(other, "key")
@@ -459,17 +465,18 @@ def linked_nodes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> Data
     open_pairs = cut(_passing(pairs.unionByName(stars), sketches, percent), "passing-pairs")
     wanted = (open_pairs.select(F.col("a").alias("node")).unionByName(open_pairs.select(F.col("b").alias("node")))
               .unionByName(dense.select("node")).distinct())
-    sets = cut(_whole_sets(docs, wanted, n, False), "whole-sets")
+    sets = cut(_whole_sets(docs, scanned, wanted, n, False), "whole-sets")
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "node long, comp long")
     refused = spark.createDataFrame([], "a long, b long")
     first, each = True, 1
     while True:
-        ca, cb = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-        apart = (open_pairs.join(ca, "a", "left").join(cb, "b", "left")
-                 .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "dist"))
-        open_pairs = cut(apart.join(refused, ["a", "b"], "left_anti"), "open-pairs")
+        if not first:
+            ca, cb = (comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+            apart = (open_pairs.join(ca, "a", "left").join(cb, "b", "left")
+                     .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "dist"))
+            open_pairs = cut(apart.join(refused, ["a", "b"], "left_anti"), "open-pairs")
         if first:  # the nearest partner of each node, from either side
             ends = open_pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "dist")
             todo = ends.groupBy("node").agg(F.min(F.struct("dist", "a", "b")).alias("p")).select("p.a", "p.b")
@@ -478,7 +485,7 @@ def linked_nodes(docs: DataFrame, hot: np.ndarray, n: int, percent: int) -> Data
         if some_dense and not first:
             todo = todo.unionByName(_dense_pairs(dense, comps, refused, sketches, percent, each))
             each *= 16  # a node with many near misses needs few rounds
-        tested, found = cut_with(verify(cut(todo.distinct(), "to-verify"), sets, percent), "verified", linked=F.count_if("linked"), **rows)
+        tested, found = cut_with(verify(todo.distinct(), sets, percent), "verified", linked=F.count_if("linked"), **rows)
         if not found["n"] and not first:
             return comps
         refused = cut(refused.unionByName(tested.filter("not linked").select("a", "b")), "refused")
@@ -492,7 +499,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     """id, key (digest of the text), n_shingles, component (null without words), component_id (smallest id reachable by links) of every row."""
     docs = df.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"))
     rows, hot = _scan(docs, n)
-    comps = linked_nodes(docs, hot, n, percent)
+    comps = linked_nodes(docs, rows, hot, n, percent)
     classes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("own"))
     named = classes.join(comps, "node", "left").withColumn("component", F.coalesce("comp", "node"))
     least = named.groupBy("component").agg(F.min("own").alias("component_id"))

@@ -59,3 +59,20 @@ def test_secret_matches_go_through_one_shuffle(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Window ") == 1 and plan.count("Aggregate(") <= 2 and "Union" not in plan  # before: six branches of one written table
     assert sorted((r.id, r.kind, r.start, r.end) for r in found.collect() if r.kind in secret_links.BASE) == [(1, "access", 21, 41), (1, "assign", 0, 20)]
+
+
+def test_whole_sets_come_from_one_text_a_node(spark):
+    """Only the text that stands for a wanted node is cut into shingles, not every text of the table."""
+    from meterwise.llm import jaccard_join as J
+    from meterwise.llm._tables import text_key
+    texts = ["a b c d e f g", "A  b c d e f g", "h i j k l m n", "o p q r s t u"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("text", "id", text_key(F.col("text")).alias("key"))
+    rows, _ = J._scan(docs, J.WORDS)
+    node = {r.id: r.node for r in rows.collect()}
+    assert node[0] == node[1]
+    least = min(r.key for r in rows.collect() if r.id < 2)
+    wanted = spark.createDataFrame([(node[0],)], "node long")
+    # a text whose key is not chosen could not be hashed: here it is another text
+    docs = docs.withColumn("text", F.when(F.col("key") == least, F.col("text")).otherwise("z z z z z z z z"))
+    got = J._whole_sets(docs, rows, wanted, J.WORDS, False).collect()
+    assert [(r.node, r.size) for r in got] == [(node[0], 3)]
