@@ -41,9 +41,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_garbage
 from ._arrays import NON_BLANK, Hasher, U, give_back, keep_only, mix, signed, slices, words
 from ._tables import cut, cut_with, text_key
 
@@ -263,8 +265,8 @@ def _scanned(ids, key, size, names, shingle, times) -> pa.RecordBatch:
                                       names=["id", "key", "n_shingles", "node", "shingle", "times"])
 
 
-def _keys(docs: DataFrame, hot: np.ndarray, n: int, percent: int, wanted: Bloom | None = None) -> DataFrame:
-    """(key, node, size) of every distinct set of a task; of ``wanted`` keys (and a few others) only."""
+def _keys(docs: DataFrame, hot: np.ndarray, n: int, percent: int, wanted: Bloom | None = None) -> tuple[DataFrame, Broadcast]:
+    """(key, node, size) of every distinct set of a task; of ``wanted`` keys (and a few others) only; and what its tasks read."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, wanted))  # at most HOT_SHINGLES hashes, 2**BLOOM_BITS bits
 
     def run(batches):
@@ -286,7 +288,14 @@ def _keys(docs: DataFrame, hot: np.ndarray, n: int, percent: int, wanted: Bloom
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(names[fresh][r])), pa.array(size[r].astype(np.int32))],
                                              names=["key", "node", "size"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long, size int")
+    return docs.select("text").mapInArrow(run, "key long, node long, size int"), shared
+
+
+def _release(spark: SparkSession, shared: Broadcast) -> None:
+    """Drop a broadcast whose readers have ended, and the driver's garbage."""
+    shared.destroy()
+    drop_garbage(spark)
+    give_back()
 
 
 def _whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, sketches: bool) -> DataFrame:
@@ -308,7 +317,9 @@ def _whole_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, n: int, ske
                                              names=["node", "size", "data"])
 
     found = docs.select("text", "key").mapInArrow(run, "node long, size int, data binary")
-    return found.groupBy("node").agg(F.first("size").alias("size"), F.first("data").alias("data"))
+    out = cut(found.groupBy("node").agg(F.first("size").alias("size"), F.first("data").alias("data")), "sketches" if sketches else "whole-sets")
+    _release(docs.sparkSession, shared)
+    return out
 
 
 def _passing(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -444,13 +455,17 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_nodes(docs: DataFrame, scanned: DataFrame, hot: np.ndarray, n: int, percent: int) -> DataFrame:
     """(node, comp) of every node that is linked with another; ``scanned`` has the node of every text's key."""
-    ends = _keys(docs, hot, n, percent).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    spark = docs.sparkSession
+    keyed, read = _keys(docs, hot, n, percent)
+    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = cut(ends.filter("lo <> hi").select("key"), "shared-keys")
-    keyed = _keys(docs, hot, n, percent, Bloom.of(shared, "key")).join(shared, "key", "left_semi")
-    live = cut(keyed.distinct(), "live-keys")
+    _release(spark, read)
+    keyed, read = _keys(docs, hot, n, percent, Bloom.of(shared, "key"))
+    live = cut(keyed.join(shared, "key", "left_semi").distinct(), "live-keys")
+    _release(spark, read)
     counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     live = live.join(counts, "key")
-    sketches = cut(_whole_sets(docs, scanned, live.select("node").distinct(), n, True), "sketches")
+    sketches = _whole_sets(docs, scanned, live.select("node").distinct(), n, True)
     few = live.filter(F.col("n") <= SMALL).select("key", "node", "size")
     other = few.select("key", F.col("node").alias("b"), F.col("size").alias("sb"))
     pairs = (few.select("key", F.col("node").alias("a"), F.col("size").alias("sa")).join(other, "key")
@@ -465,8 +480,7 @@ def linked_nodes(docs: DataFrame, scanned: DataFrame, hot: np.ndarray, n: int, p
     open_pairs = cut(_passing(pairs.unionByName(stars), sketches, percent), "passing-pairs")
     wanted = (open_pairs.select(F.col("a").alias("node")).unionByName(open_pairs.select(F.col("b").alias("node")))
               .unionByName(dense.select("node")).distinct())
-    sets = cut(_whole_sets(docs, scanned, wanted, n, False), "whole-sets")
-    spark = docs.sparkSession
+    sets = _whole_sets(docs, scanned, wanted, n, False)
     links = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "node long, comp long")
     refused = spark.createDataFrame([], "a long, b long")
@@ -492,6 +506,7 @@ def linked_nodes(docs: DataFrame, scanned: DataFrame, hot: np.ndarray, n: int, p
         if found["linked"]:
             links = cut(links.unionByName(tested.filter("linked").select("a", "b")), "all-links")
             comps = cut(components(links), "components")
+        drop_garbage(spark)
         first = False
 
 

@@ -6,6 +6,7 @@ helpers here are for tests, the bench and the command line.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -85,6 +86,14 @@ def cut_lineage(df, name: str = "table"):
     return df.sparkSession.read.parquet(path)
 
 
+def drop_garbage(spark: SparkSession) -> None:
+    """Collect the driver's garbage, Python's and the JVM's: Spark's cleaner removes shuffles and
+    broadcasts of ended jobs only when their handles are collected, and a heap that has grown
+    for one job shrinks again only then.  For operators that run many jobs in a row."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 

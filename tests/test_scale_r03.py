@@ -76,3 +76,13 @@ def test_whole_sets_come_from_one_text_a_node(spark):
     docs = docs.withColumn("text", F.when(F.col("key") == least, F.col("text")).otherwise("z z z z z z z z"))
     got = J._whole_sets(docs, rows, wanted, J.WORDS, False).collect()
     assert [(r.node, r.size) for r in got] == [(node[0], 3)]
+
+
+def test_jaccard_join_leaves_no_broadcasts(spark, monkeypatch):
+    """What the tasks of a pass read is dropped once the pass has ended."""
+    from meterwise.llm import jaccard_join as J
+    made, make = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(make(self, value)) or made[-1])
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z"), (4, "x y z q")], "doc_id long, text string")
+    assert sorted((r.id, r.component_id) for r in J.join(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert made and not any(b._jbroadcast.isValid() for b in made)
