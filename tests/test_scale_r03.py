@@ -156,6 +156,9 @@ def test_rows_in_even_files_are_written_once(spark, tmp_path):
     kept = write_sized(spark.range(200_000).repartition(6), path, file_bytes=300_000)
     assert left() == before and kept.count() == 200_000 and kept.agg(F.sum("id")).first()[0] == 200_000 * 199_999 // 2
     assert os.path.exists(os.path.join(path, "_SUCCESS")) and not os.path.exists(os.path.join(path, "part-of-lost-run"))
+    slots = spark.sparkContext.defaultParallelism
+    few = write_sized(spark.range(200_000).repartition(slots + 1), str(tmp_path / "few"), file_bytes=80_000)  # more than 80,000 bytes each, a slot's worth
+    assert left() == before and len(few.inputFiles()) == slots + 1
     uneven = spark.range(200_000).repartition(6, F.when(F.col("id") < 190_000, 0).otherwise(F.col("id")))
     assert write_sized(uneven, str(tmp_path / "uneven"), file_bytes=300_000).count() == 200_000 and left() != before
 
