@@ -170,6 +170,11 @@ def value_counts(invoice: DataFrame, kinds=("d", "t", "m"), parts: int | None =
     return rows.groupBy("client_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def day_tasks(rows: DataFrame) -> int:
+    """Tasks for rows of clients and days: ``DAY_ROWS`` each, no fewer than task slots."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / DAY_ROWS))
+
+
 def gap_histogram(invoice: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Day gaps between consecutive invoices of a client, as counts.
 
@@ -181,7 +186,7 @@ def gap_histogram(invoice: DataFrame, counts: DataFrame | None = None) -> DataFr
     invoice; the number of its tasks follows the number of rows (``DAY_ROWS``),
     else they spill once the tables grow.
     """
-    parts = max(invoice.sparkSession.sparkContext.defaultParallelism, math.ceil(invoice.count() / DAY_ROWS))
+    parts = day_tasks(invoice)
     kv = counts if counts is not None else value_counts(invoice, ("d",), parts)
     days = (kv.filter(F.col("kind") == "d").select("client_id", F.col("value").alias("day"), "n")
             .repartition(parts, "client_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CREATION_DATE_FORMATS, ensure_date
 from ..operators import group_features as G
-from ..operators.client_features import (CONSUMPTION_STAT_COLUMNS, client_aggregates, faulty_cols,
+from ..operators.client_features import (CONSUMPTION_STAT_COLUMNS, client_aggregates, day_tasks, faulty_cols,
                                          gap_histogram, invoice_frequency, monthly_cols, remark_cols,
                                          tariff_and_meter_counts, with_status_mean)
 from ..operators.projections import base_columns
@@ -50,9 +50,12 @@ def invoice_tables(invoice: DataFrame) -> tuple[DataFrame, DataFrame]:
     Each is bounded by clients x distinct values and written once to the
     shared checkpoint folder: later stages restart from the files after a
     failure, and several feature tables of the same invoices can share them.
+    The histogram, small in bytes but long, is dealt by client into tasks of bounded
+    rows, once for the medians of clients and of regions.
     """
     invoice = invoice.filter(F.col("client_id").isNotNull())
-    return cut_lineage(client_aggregates(invoice), "client-summary"), cut_lineage(gap_histogram(invoice), "gap-histogram")
+    summary, gaps = cut_lineage(client_aggregates(invoice), "client-summary"), cut_lineage(gap_histogram(invoice), "gap-histogram")
+    return summary, gaps.repartition(day_tasks(gaps), "client_id")
 
 
 def build_features(client: DataFrame, invoice: DataFrame, with_target: bool | None = None,
