@@ -24,3 +24,74 @@ def test_package_is_shipped_once_by_jobs_side_by_side():
     for t in threads:
         t.join()
     assert len(shipped) == 1
+
+
+def _rows(spark, n=700):
+    import random
+
+    from meterwise.operators import models as L
+    rnd = random.Random(5)
+    rows = [(i, int(rnd.random() < 0.3), rnd.gauss(0, 1), float(rnd.randint(0, 4)), rnd.random() ** 3, 1.0) for i in range(n)]
+    rows = [(i, y, a + y, b, c * (1 + y), d, rnd.uniform(0.5, 2.0), i % 5) for i, y, a, b, c, d in rows]
+    df = spark.createDataFrame(rows, "client_id long, target int, a double, b double, c double, d double, weight double, fold int")
+    rows = L.assemble(df, ["a", "b", "c", "d"]).coalesce(1)
+    return rows.filter("fold > 0"), rows.filter("fold = 0")
+
+
+def test_fit_in_one_task_equals_spark_ml(spark):
+    """A fit was a chain of jobs over the cluster; one task now makes the same trees (splits of equal gain,
+    as integer targets make them in deep nodes, may differ by rounding; drawn weights have none)."""
+    from meterwise.operators import boosting as B
+    from meterwise.operators import models as L
+    train, held = _rows(spark)
+    again = train.unionByName(train.filter("target = 1"))  # rows that occur twice
+    assert B.fits_in_task(again)
+    for rows, weight, params in ((train, None, {"n_estimators": 6, "max_depth": 4, "learning_rate": 0.2}),
+                                 (again, None, {"n_estimators": 4, "max_depth": 4, "min_child_weight": 7}),
+                                 (again, "weight", {"n_estimators": 4, "max_depth": 5, "min_child_weight": 6}),
+                                 (train, "weight", {"n_estimators": 4, "max_depth": 3, "min_child_weight": 30}),
+                                 (again, None, {"n_estimators": 5, "max_depth": 4, "gamma": 0.02}),
+                                 (train, None, {"n_estimators": 3, "max_depth": 2, "gamma": 3.0})):
+        est = L.gbt(weight_col=weight, **params)
+        want = L.positive_probability(est.fit(rows).transform(held)).select("target", "score", "prediction").collect()
+        got = B.scored(est, rows, held).collect()
+        assert len(got) == len(want) == 140
+        for g, w in zip(got, want):
+            assert (g.target, g.prediction) == (w.target, w.prediction) and abs(g.score - w.score) < 1e-9, params
+
+
+def test_fit_in_one_task_draws_rows_and_features(spark):
+    from meterwise.operators import boosting as B
+    from meterwise.operators import models as L
+    train, held = _rows(spark)
+    est = L.gbt(n_estimators=30, max_depth=3, learning_rate=0.1, subsample=0.6, colsample_bytree=0.5)
+    assert est.getFeatureSubsetStrategy() == "0.5"
+
+    def log_loss(rows):
+        import math
+        return -sum(math.log(r.score if r.target else 1 - r.score) for r in rows) / len(rows)
+
+    got = B.scored(est, train, held).collect()
+    assert got == B.scored(est, train, held).collect()
+    whole = B.scored(L.gbt(n_estimators=30, max_depth=3, learning_rate=0.1), train, held).collect()
+    spark_ml = L.positive_probability(est.fit(train).transform(held)).collect()
+    assert abs(log_loss(got) - log_loss(spark_ml)) < 0.05 and got != whole
+
+
+def test_search_runs_small_fits_in_tasks_and_large_ones_on_spark_ml(spark, tmp_path, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    from meterwise.operators import boosting as B
+    from meterwise.operators import models as L
+    from meterwise.operators import strategies as C
+    train, held = _rows(spark, 200)
+    data = train.unionByName(held).select("client_id", "target", "fold", "features")
+    fits = []
+    plain = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: (fits.append(1), plain(self, rows))[1])
+    draws = [{"n_estimators": 2, "max_depth": 2, "learning_rate": 0.3}]
+    small = C.search(C.FoldStore(data, {"none": None}, f"{tmp_path}/a"), draws, lambda s, d: L.gbt(**d))
+    assert not fits
+    monkeypatch.setattr(B, "TASK_CELLS", 100)
+    large = C.search(C.FoldStore(data, {"none": None}, f"{tmp_path}/b"), draws, lambda s, d: L.gbt(**d))
+    assert len(fits) == 5 and abs(small["none"][0] - large["none"][0]) < 1e-9
