@@ -7,11 +7,17 @@ driver loop and never one feature per task.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import rank_before
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 
 
 def feature_columns(df: DataFrame, target: str = "target", exclude=("client_id",)) -> list[str]:
@@ -20,12 +26,12 @@ def feature_columns(df: DataFrame, target: str = "target", exclude=("client_id",
 
 
 def long_form(df: DataFrame, features: list[str], target: str = "target", id_col: str | None = None) -> DataFrame:
-    """(feature, [id], y, x) with NULL → 0, as the reference fills before MI."""
+    """(feature, [place, id], y, x) with NULL → 0, as the reference fills before MI; place: of the feature in the list."""
     keep = [F.col(target).cast("int").alias("y")] + ([F.col(id_col).alias("id")] if id_col else [])
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"),
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("place"),
                                          F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias("x"))
-                                for f in features])).alias("p")
-    return df.select(*keep, pairs).select("p.feature", *[c for c in ("id",) if id_col], "y", "p.x")
+                                for i, f in enumerate(features)])).alias("p")
+    return df.select(*keep, pairs).select("p.feature", *(["p.place", "id"] if id_col else []), "y", "p.x")
 
 
 # Fixed number of decimals feature values are rounded to before binning, so
@@ -89,7 +95,7 @@ def feature_names(filtered: DataFrame) -> list[str]:
 # 1e-10 · max(1, mean |x|) standard deviations added after scaling by the std.
 KNN_NEIGHBOURS = 3
 KNN_NOISE = 1e-10
-RUN = 1 << 16  # ranks in one window
+RUN = 1 << 19  # points of a block
 
 
 def _hash_normal(seed: int, *cols):
@@ -103,17 +109,65 @@ def _hash_normal(seed: int, *cols):
 
 def knn_points(df: DataFrame, features: list[str], target: str = "target", id_col: str = "client_id",
                seed: int = 50) -> DataFrame:
-    """Long form (feature, id, y, x) after NULL → 0, division by the
+    """Long form (feature, place, id, y, x) after NULL → 0, division by the
     population std (0 → 1) and the tie-breaking noise."""
     long = long_form(df, features, target, id_col)
-    stats = long.groupBy("feature").agg(F.stddev_pop("x").alias("sd"))
-    scaled = (long.join(F.broadcast(stats), "feature")  # one row per feature: bounded by the column list
-              .withColumn("x", F.col("x") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)))
-              .drop("sd"))
-    mean_abs = scaled.groupBy("feature").agg(F.greatest(F.lit(1.0), F.avg(F.abs("x"))).alias("ma"))
-    return (scaled.join(F.broadcast(mean_abs), "feature")
-            .withColumn("x", F.col("x") + F.lit(KNN_NOISE) * F.col("ma") * _hash_normal(seed, "feature", "id"))
-            .drop("ma"))
+    sd = F.when(F.stddev_pop("x") > 0, F.stddev_pop("x")).otherwise(F.lit(1.0))
+    stats = long.groupBy("feature").agg(sd.alias("sd"), F.greatest(F.lit(1.0), F.avg(F.abs("x")) / sd).alias("ma"))
+    return (long.join(F.broadcast(stats), "feature")  # one row per feature: bounded by the column list
+            .withColumn("x", F.col("x") / F.col("sd") + F.lit(KNN_NOISE) * F.col("ma") * _hash_normal(seed, "feature", "id"))
+            .select("feature", "place", "id", "y", "x"))
+
+
+def _ends(x, r, nx):
+    """(lower, upper, r > 0): the m points lie between the ends, or at both if r = 0.  On the side of the
+    k-th neighbour its exact value is the end (x ± r could round past it); the other end is x ∓ r."""
+    far, right = r > 0, nx > x
+    if isinstance(x, np.ndarray):
+        return np.where(far, np.where(right, x - r, nx), x), np.where(far, np.where(right, nx, x + r), x), far
+    return F.when(far, F.when(right, x - r).otherwise(nx)).otherwise(x), F.when(far, F.when(right, nx).otherwise(x + r)).otherwise(x), far
+
+
+def _nearest(x: np.ndarray, k: int, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, value) of the ``want``-th nearest of the k values before and after each of the sorted ones."""
+    around = np.full((2 * k, len(x)), np.inf)
+    for j in range(1, min(k, len(x) - 1) + 1):
+        around[k - j, j:], around[k + j - 1, :-j] = x[:-j], x[j:]
+    gap = np.abs(around - x)
+    pick = gap.argsort(axis=0, kind="stable")[want - 1]
+    at = np.arange(len(x))
+    return gap[pick, at], around[pick, at]
+
+
+def _block(points: pa.Table, k: int, sizes: dict[int, int], block: int) -> pa.Table:
+    """The points in the order of (place, x) with r, nx and m as far as this block shows them.
+
+    r is known of points with k others of their label on both sides, m where the ends lie inside.
+    ``edge`` marks the first and last 2 k points of each label."""
+    place, x = points.column("place").to_numpy(), points.column("x").to_numpy()
+    order = np.lexsort((x, place))
+    points, place, x, y = points.take(pa.array(order)), place[order], x[order], points.column("y").to_numpy()[order]
+    r, nx, m, edge = np.full(len(x), np.nan), np.full(len(x), np.nan), np.full(len(x), -1, np.int64), np.zeros(len(x), bool)
+    starts = np.nonzero(np.diff(place, prepend=place[0] - 1))[0]
+    for a, b in zip(starts, [*starts[1:], len(x)]):
+        here, labels = x[a:b], y[a:b]
+        for label in np.unique(labels):
+            rows = np.nonzero(labels == label)[0]
+            at, mine = a + rows, here[rows]
+            edge[at[:2 * k]] = edge[at[-2 * k:]] = True
+            if len(rows) <= 2 * k:
+                continue
+            gap, value = _nearest(mine, k, min(k, sizes[int(label)] - 1))
+            inner = slice(k, len(rows) - k)
+            own, gap, value = mine[inner], gap[inner], value[inner]
+            low, high, far = _ends(own, gap, value)
+            n = np.where(far, here.searchsorted(high, "left") - here.searchsorted(low, "right"),
+                         here.searchsorted(high, "right") - here.searchsorted(low, "left"))
+            inside = np.where(far, (low >= here[0]) & (high <= here[-1]), (low > here[0]) & (high < here[-1]))
+            r[at[inner]], nx[at[inner]], m[at[inner]] = gap, value, np.where(inside, n, -1)
+    return pa.table([points.column(c) for c in ("place", "id", "y", "x")] + [
+        pa.array(r, mask=np.isnan(r)), pa.array(nx, mask=np.isnan(nx)), pa.array(m, mask=m < 0), pa.array(edge), pa.array(np.full(len(x), block))],
+        ["place", "id", "y", "x", "r", "nx", "m", "edge", "block"])
 
 
 def knn_point_stats(df: DataFrame, target: str = "target", features: list[str] | None = None,
@@ -123,68 +177,69 @@ def knn_point_stats(df: DataFrame, target: str = "target", features: list[str] |
     * r_i: distance to the k-th nearest point of the same label, k_i =
       min(k, N_y − 1); labels with one point are left out.  In one
       dimension the k nearest lie among the k predecessors and k successors
-      in sorted order, read by windows over runs of RUN ranks (ranks are
-      distributed running counts, never a per-label window).
+      in sorted order.
     * m_i: points of any label with |x_j − x_i| < r_i (equal values when
-      r_i = 0), i included: events at x_i ± r_i are merged into the sorted
-      values and read off a running count.
+      r_i = 0), i included.
+
+    One shuffle deals the points into blocks of some RUN neighbours in the order
+    of (feature, x); nearly all of them see their neighbours and all points within
+    r_i in their own block.  Of the others, at the ends of the blocks (some 2 k
+    for each block and label), r_i comes from a window over the blocks' end
+    points, and m_i from the sizes of the blocks in between and counts in the
+    blocks where x_i ± r_i lie.
     """
     feats = features or feature_columns(df, target, exclude=(id_col,))
+    spark = df.sparkSession
+    ship(spark)
     # the features are planned once; all passes below read this table
     wide = cut_lineage(df.select(id_col, target, *[F.col(f"`{f}`") for f in feats]), "knn-features")
-    pts = knn_points(wide, feats, target, id_col, seed)
-    sizes = wide.groupBy(F.col(target).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n_y"))  # one row a label
-    pts = (pts.join(F.broadcast(sizes), "y").filter(F.col("n_y") > 1)
-           .withColumn("k_i", F.least(F.lit(k), F.col("n_y") - 1)))
-    pts = cut_lineage(pts.withColumn("one", F.lit(1).cast("long")), "knn-points")
-
-    # ranks inside (feature, label)
-    from ..functions.prefix import running_sums
-    ranked = running_sums(pts, ["feature", "y"], ["x", "id"], ["one"], prefix="rk_").withColumnRenamed("rk_one", "rk")
-    ranked = cut_lineage(ranked, "knn-ranked")
-    # the k rows before and after each row, by windows over runs of ranks; the k rows at
-    # either end of a run go to the next run too, so no row is joined to its neighbours
-    size = max(RUN, k)
-    run, off = F.floor((F.col("rk") - 1) / size), F.pmod(F.col("rk") - 1, F.lit(size))
-    places = F.array(F.struct(run.alias("run"), F.lit(False).alias("guest")),
-                     F.when((off < k) & (run > 0), F.struct((run - 1).alias("run"), F.lit(True).alias("guest"))),
-                     F.when(off >= size - k, F.struct((run + 1).alias("run"), F.lit(True).alias("guest"))))
-    runs = ranked.select("feature", "y", "id", "x", "k_i", "rk", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")) \
-        .select("feature", "y", "id", "x", "k_i", "rk", "p.run", "p.guest")
-    w = Window.partitionBy("feature", "y", "run").orderBy("rk")
+    sizes = {r["y"]: r["n"] for r in wide.groupBy(F.col(target).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a label
+    paired = [y for y, n in sizes.items() if y is not None and n > 1]
+    pts = knn_points(wide, feats, target, id_col, seed).filter(F.col("y").isin(paired))
+    pts = cut_lineage(pts.drop("feature"), "knn-points")
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(sizes[y] for y in paired) * len(feats) / RUN))
+    id_type = pts.schema["id"].dataType.simpleString()
+    ddl = f"place int, id {id_type}, y int, x double, r double, nx double, m long, edge boolean, block long"
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if sum(len(b) for b in found):
+            rows = pa.Table.from_batches(found)
+            yield from _block(rows, k, sizes, TaskContext.get().partitionId()).combine_chunks().to_batches(1 << 16)
+
+    met = cut_lineage(pts.repartitionByRange(blocks, "place", "x", "id").mapInArrow(meet, ddl), "knn-blocks")
+    n_y = F.create_map(*[F.lit(v) for y in paired for v in (y, sizes[y])])[F.col("y")] if paired else F.lit(None).cast("long")
+    met = met.withColumn("n_y", n_y).withColumn("k_i", F.least(F.lit(k), F.col("n_y") - 1))
+
+    # r_i of the end points of the blocks, in the order of all of a feature's end points
+    w = Window.partitionBy("place", "y").orderBy("x", "id")
     nears = [f("x", j).over(w) for j in range(1, k + 1) for f in (F.lag, F.lead)]
-    cand = runs.select("feature", "id", "x", "y", "k_i", "guest", F.array(*nears).alias("nears")).filter(~F.col("guest"))
-    dist = cand.select("feature", "id", "x", "y", "k_i", F.array_sort(F.transform(
-        F.filter("nears", lambda n: n.isNotNull()), lambda n: F.struct(F.abs(n - F.col("x")).alias("d"), n.alias("nx")))).alias("ds"))
+    ends = met.filter("edge").withColumn("nears", F.array(*nears)).filter(F.col("r").isNull())
+    ends = ends.withColumn("ds", F.array_sort(F.transform(
+        F.filter("nears", lambda n: n.isNotNull()), lambda n: F.struct(F.abs(n - F.col("x")).alias("d"), n.alias("nx")))))
     kth = F.element_at("ds", F.col("k_i").cast("int"))
-    # read three times below (two event sides and the final join): written once
-    radius = cut_lineage(dist.select("feature", "id", "x", "y", "k_i", kth["d"].alias("r"), kth["nx"].alias("nx")),
-                         "knn-radius")
-
-    # m_i by events merged into the sorted values of each feature.  On the
-    # side of the k-th neighbour its exact value is the bound (x ± r could
-    # round past it); the other side uses x ∓ r.
-    values = pts.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("w"))
-    pos_r = F.col("r") > 0
-    right = F.col("nx") > F.col("x")
-    upper = radius.select("feature", "id", F.lit("u").alias("side"),
-                          F.when(pos_r & right, F.col("nx")).when(pos_r, F.col("x") + F.col("r"))
-                          .otherwise(F.col("x")).alias("x"),
-                          F.when(pos_r, F.lit(0)).otherwise(F.lit(2)).alias("kind"))
-    lower = radius.select("feature", "id", F.lit("l").alias("side"),
-                          F.when(pos_r & ~right, F.col("nx")).when(pos_r, F.col("x") - F.col("r"))
-                          .otherwise(F.col("x")).alias("x"),
-                          F.when(pos_r, F.lit(2)).otherwise(F.lit(0)).alias("kind"))
-    events = upper.unionByName(lower).withColumn("w", F.lit(0).cast("long"))
-    pts_rows = values.select("feature", F.lit(None).cast(pts.schema["id"].dataType).alias("id"),
-                             F.lit(None).cast("string").alias("side"), "x", F.lit(1).alias("kind"), "w")
-    merged = running_sums(events.unionByName(pts_rows), ["feature"], ["x", "kind"], ["w"], prefix="c_")
-    counts = (merged.filter(F.col("side").isNotNull())
-              .groupBy("feature", "id").agg(
-                  (F.max(F.when(F.col("side") == "u", F.col("c_w"))) -
-                   F.max(F.when(F.col("side") == "l", F.col("c_w")))).alias("m")))
-
-    return radius.drop("nx").join(counts, ["feature", "id"]).join(F.broadcast(sizes), "y")
+    ends = ends.withColumn("r", kth["d"]).withColumn("nx", kth["nx"]).drop("nears", "ds")
+    left = ends.unionByName(met.filter(F.col("r").isNotNull() & F.col("m").isNull()))
+    left = cut_lineage(left.withColumn("key", F.monotonically_increasing_id()), "knn-open")  # an id may occur twice
+
+    # m_i of the points whose ends lie outside their block
+    spans = cut_lineage(met.groupBy("place", "block").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")), "knn-spans")
+    low, high, far = _ends(F.col("x"), F.col("r"), F.col("nx"))
+    cuts = left.select("place", "key", F.explode(F.array(
+        F.struct(high.alias("at"), (~far).alias("itself"), F.lit(1).alias("sign")),
+        F.struct(low.alias("at"), far.alias("itself"), F.lit(-1).alias("sign")))).alias("c")).select("place", "key", "c.*")
+    spanned = cut_lineage(cuts.join(F.broadcast(spans), "place").filter(F.col("lo") <= F.col("at")), "knn-cuts")  # blocks up to an end
+    before = spanned.filter(F.col("hi") < F.col("at")).select("key", (F.col("sign") * F.col("n")).alias("n"))
+    across = spanned.filter(F.col("hi") >= F.col("at")).select("place", "block", "key", "at", "itself", "sign")
+    inside = (met.select("place", "block", "x").join(F.broadcast(across), ["place", "block"])
+              .filter((F.col("x") < F.col("at")) | (F.col("itself") & (F.col("x") == F.col("at"))))
+              .groupBy("key").agg(F.sum("sign").alias("n")))
+    counts = before.unionByName(inside).groupBy("key").agg(F.sum("n").alias("m"))
+    opened = left.drop("m").join(F.broadcast(counts), "key")
+
+    columns = ["id", "y", "x", "k_i", "r", "m", "n_y"]
+    name = F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("place") + 1).alias("feature")
+    return met.filter(F.col("m").isNotNull()).select(name, *columns).unionByName(opened.select(name, *columns))
 
 
 def mi_knn(df: DataFrame, target: str = "target", features: list[str] | None = None,
@@ -193,8 +248,11 @@ def mi_knn(df: DataFrame, target: str = "target", features: list[str] | None = N
     (see :func:`knn_point_stats`).  Returns (Feature, MI_Score)."""
     from ..functions.columns import digamma
     per_point = knn_point_stats(df, target, features, id_col, k, seed)
-    scores = per_point.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(digamma("k_i")).alias("pk"),
-        F.avg(digamma("n_y")).alias("py"), F.avg(digamma("m")).alias("pm"))
+    alike = per_point.groupBy("feature", "k_i", "n_y", "m").agg(F.count(F.lit(1)).alias("n"))  # ψ once for equal counts
+
+    def mean(c):
+        return F.sum(F.col("n") * digamma(c)) / F.sum("n")
+
+    scores = alike.groupBy("feature").agg(F.sum("n").alias("n"), mean("k_i").alias("pk"), mean("n_y").alias("py"), mean("m").alias("pm"))
     mi = digamma("n") + F.col("pk") - F.col("py") - F.col("pm")
     return scores.select(F.col("feature").alias("Feature"), F.greatest(mi, F.lit(0.0)).alias("MI_Score"))

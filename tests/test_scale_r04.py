@@ -95,3 +95,37 @@ def test_search_runs_small_fits_in_tasks_and_large_ones_on_spark_ml(spark, tmp_p
     monkeypatch.setattr(B, "TASK_CELLS", 100)
     large = C.search(C.FoldStore(data, {"none": None}, f"{tmp_path}/b"), draws, lambda s, d: L.gbt(**d))
     assert len(fits) == 5 and abs(small["none"][0] - large["none"][0]) < 1e-9
+
+
+def _mi_rows(spark, n=400):
+    import random
+    rnd = random.Random(11)
+    rows = [(i % (n - 20), int(rnd.random() < 0.2) if i > 2 else 5, rnd.gauss(0, 1), float(rnd.randint(0, 2)), 4.0) for i in range(n)]  # ids and labels that hardly occur twice
+    return spark.createDataFrame(rows, "client_id long, target int, a double, b double, c double")
+
+
+def test_mi_knn_blocks_equal_brute_force(spark, monkeypatch):
+    """Points at the ends of blocks, a label of three rows, ids that occur twice: r and m as by brute force."""
+    from meterwise.operators import selection
+    df = _mi_rows(spark)
+    monkeypatch.setattr(selection, "RUN", 40)
+    got = selection.knn_point_stats(df, features=["a", "b", "c"]).collect()
+    assert len(got) == 3 * 400 and len({g.id for g in got}) == 380
+    want = []
+    for p in got:
+        same = sorted(abs(q.x - p.x) for q in got if q.feature == p.feature and q.y == p.y)[1:]
+        r = same[min(3, len(same)) - 1]
+        near = [q for q in got if q.feature == p.feature and (abs(q.x - p.x) < r or r == 0 and q.x == p.x)]
+        want.append((p.feature, p.id, p.y, p.x, r, len(near)))
+    assert sorted((g.feature, g.id, g.y, g.x, g.r, g.m) for g in got) == sorted(want)
+
+
+def test_mi_knn_shuffles_its_points_once(spark, monkeypatch):
+    """Before: points, ranks, runs, events (three rows a point) and counts each went through a shuffle."""
+    from meterwise.operators import selection
+    frame = type(spark.range(0))
+    dealt, plain = [], frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: (dealt.append(a), plain(self, *a))[1])
+    stats = selection.knn_point_stats(_mi_rows(spark), features=["a", "b", "c"])
+    plan = stats._jdf.queryExecution().sparkPlan().toString()
+    assert len(dealt) == 1 and "SortMergeJoin" not in plan and "Window" not in plan
