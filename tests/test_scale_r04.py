@@ -129,3 +129,24 @@ def test_mi_knn_shuffles_its_points_once(spark, monkeypatch):
     stats = selection.knn_point_stats(_mi_rows(spark), features=["a", "b", "c"])
     plan = stats._jdf.queryExecution().sparkPlan().toString()
     assert len(dealt) == 1 and "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_equal_vectors_are_found_by_their_hash_first(spark):
+    """Sorts and joins by whole vectors took most of smote_tomek's search; equal hashes of different vectors still count as different."""
+    from pyspark.sql import functions as F
+
+    from meterwise.operators import neighbors
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(100)]
+    sites = neighbors._sites(spark.createDataFrame(rows, "rid long, rvec array<double>"), 3)
+    plan = sites._jdf.queryExecution().sparkPlan().toString()
+    assert "hash" in plan and plan.index("Window") > 0 and "[hash#" in plan[plan.index("Window"):]
+    want = {}
+    for i, v in rows:
+        want.setdefault(tuple(v), []).append(i)
+    assert {tuple(r.rvec): r.ids for r in sites.collect()} == {v: ids[:3] for v, ids in want.items()}
+    plain, neighbors.F.xxhash64 = F.xxhash64, lambda *c: F.lit(1).cast("long")
+    try:
+        sites = neighbors._sites(spark.createDataFrame(rows, "rid long, rvec array<double>"), 3)
+        assert {tuple(r.rvec): r.ids for r in sites.collect()} == {v: ids[:3] for v, ids in want.items()}
+    finally:
+        neighbors.F.xxhash64 = plain
